@@ -7,6 +7,8 @@ gives case-insensitive search with Unicode word boundaries.
 from __future__ import annotations
 
 import re
+import re._parser as _re_parser
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -34,25 +36,94 @@ def by_lang(lang: Column, per_lang: dict[str, Column], default: Column | None =
 
 
 def widen(pattern: str) -> str | None:
-    """A pattern that is found in a whole text whenever ``pattern`` is found in
-    a piece of that text, or None if that cannot be read off the pattern.
-
-    Anchors at the ends and a trailing look-ahead only narrow a match, so they
-    are dropped; anchors elsewhere, look-behinds and inline flags are not judged.
-    """
+    """The pattern without anchors at its ends and without a final look-ahead."""
     p = re.sub(r"\(\?![^()]*\)$", "", pattern)
     p = re.sub(r"^\^", "", p)
     p = re.sub(r"(?<!\\)\$$", "", p)
-    p = re.sub(r"(?<=[(|])\^", "", p)
-    bare = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", p)
-    if "^" in bare or "$" in bare or re.search(r"\(\?[^:]", bare) or re.search(r"\\[AZzGQ]", p) or not p:
-        return None
-    return p
+    return p or None
 
 
-def prefilter(col: Column, patterns: Iterable[str]) -> Column:
-    """Necessary condition on a whole text for any pattern to hit a piece of it."""
-    wide = [widen(p) for p in patterns]
-    if any(w is None for w in wide):
-        return F.lit(True)
-    return match_any(col, sorted(set(wide), key=wide.index))
+def required_words(pattern: str) -> frozenset[str] | None:
+    """Lower-case literals of which every match of the pattern holds at least one;
+    None if the pattern demands no literal of two characters or more."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = _re_parser.parse(pattern)
+    except Exception:
+        return None
+    found = _words_of(tree)
+    return found if found and min(map(len, found)) >= 2 else None
+
+
+def _rarity(word: str) -> int:
+    return len(word) + 2 * sum(not c.isalnum() for c in word)
+
+
+def _words_of(tree) -> frozenset[str] | None:
+    best: frozenset[str] | None = None
+    run = ""
+
+    def offer(words):
+        nonlocal best
+        if words and (best is None or min(map(_rarity, words)) > min(map(_rarity, best))):
+            best = words
+
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        if name == "AT":  # anchors and word boundaries take no characters
+            continue
+        offer(frozenset([run]) if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            offer(_words_of(arg[3]))
+        elif name == "BRANCH":
+            branches = [_words_of(b) for b in arg[1]]
+            offer(frozenset().union(*branches) if all(branches) else None)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+            offer(_words_of(arg[2]))
+    offer(frozenset([run]) if run else None)
+    return best
+
+
+# Letters that fold to ASCII letters under Unicode case rules; a text with one of
+# them is passed on, so that comparing lower-case text stays a necessary condition.
+_FOLDING = ["\u017f", "\u0131", "\u0307", "\u212a"]
+
+
+def prefilter_by_lang(content: Column, lang: Column | None, per_lang: dict[str, list[str]]) -> Column:
+    """Necessary condition on a whole text for any of its language's patterns.
+
+    Substring tests on the text in lower case, many times cheaper than an
+    alternation of regexes.  The one-element transform binds the lower-case text
+    so that it is computed once for all tests.
+    """
+    words: dict[str, set[str] | None] = {}
+    for name, patterns in per_lang.items():
+        sets = [required_words(p) for p in patterns]
+        words[name] = None if any(w is None for w in sets) else set().union(*sets)
+
+    def test(lower: Column) -> Column:
+        def any_word(ws: set[str] | None) -> Column:
+            if ws is None:
+                return F.lit(True)
+            # A word that contains another one is found whenever that one is.
+            least = sorted(w for w in ws if not any(o != w and o in w for o in ws))
+            if not least:
+                return F.lit(False)
+            cond = lower.contains(least[0])
+            for w in least[1:] + _FOLDING:
+                cond = cond | lower.contains(w)
+            return cond
+        if lang is None:
+            return any_word(words[next(iter(words))])
+        return by_lang(lang, {name: any_word(ws) for name, ws in words.items()})
+
+    return F.coalesce(F.element_at(F.transform(F.array(F.lower(content)), test), 1), F.lit(False))
+
+
+def prefilter(content: Column, patterns: Iterable[str]) -> Column:
+    return prefilter_by_lang(content, None, {"": list(patterns)})

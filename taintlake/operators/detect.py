@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taintlake.functions import text
-from taintlake.functions.patterns import by_lang, match_any, prefilter, widen
+from taintlake.functions.patterns import by_lang, match_any, prefilter_by_lang, widen
 from taintlake.operators.facts import may_have_source
 from taintlake.rules.catalog import NUMBER_LITERAL_LANGS, PHP, PLACEHOLDERS, REDOS_SHAPES, STRUCT_LANGS, Rule
 
@@ -44,14 +44,13 @@ def worth_parsing(content: Column, lang: Column, rules: list[Rule]) -> Column:
     some rule that needs no taint may match, or a source and a sink both occur."""
     plain, tainted = {}, {}
     for name in STRUCT_LANGS:
-        always = (_patterns(rules, name, ("call_always", "missing_flag"))
-                  + _patterns(rules, name, ("assign_literal", "lhs_random"), "lhs_name_pattern"))
-        sinks = _patterns(rules, name, ("call_taint", "assign_taint"))
-        if name == PHP and sinks:
-            sinks = sinks + _PHP_STATEMENTS
-        plain[name] = prefilter(content, always) if always else F.lit(False)
-        tainted[name] = prefilter(content, sinks) if sinks else F.lit(False)
-    return by_lang(lang, plain) | (may_have_source(content, lang) & by_lang(lang, tainted))
+        plain[name] = (_patterns(rules, name, ("call_always", "missing_flag"))
+                       + _patterns(rules, name, ("assign_literal", "lhs_random"), "lhs_name_pattern"))
+        tainted[name] = _patterns(rules, name, ("call_taint", "assign_taint"))
+        if name == PHP and tainted[name]:
+            tainted[name] = tainted[name] + _PHP_STATEMENTS
+    return (prefilter_by_lang(content, lang, plain)
+            | (may_have_source(content, lang) & prefilter_by_lang(content, lang, tainted)))
 
 
 # ------------------------------------------------------------------- candidates

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taintlake.functions.patterns import by_lang, match_any, prefilter, widen
+from taintlake.functions.patterns import by_lang, match_any, prefilter_by_lang, widen
 from taintlake.operators.lexer import lex
 from taintlake.rules.catalog import C, CPP, JAVA, JS, PHP, PY, SANITIZERS, STRUCT_LANGS, TAINT_SOURCES
 
@@ -34,7 +34,7 @@ _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 def may_have_source(content: Column, lang: Column) -> Column:
     """Necessary condition for any tainted value in a text."""
-    return by_lang(lang, {name: prefilter(content, pats) for name, pats in TAINT_SOURCES.items()})
+    return prefilter_by_lang(content, lang, TAINT_SOURCES)
 
 
 def as_units(src_files: DataFrame) -> DataFrame:
@@ -109,16 +109,32 @@ def _sources_split(lang: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def _neighbours(tokens: DataFrame) -> DataFrame:
-    short = "left(text, 80)"
-    near = f"named_struct('kind', kind, 'text', {short}, 'pos', pos, 'line', line, 'end_line', line + newlines)"
-    ahead = f"named_struct('kind', kind, 'text', {short}, 'piece', left(piece, 80), 'pos', pos, 'line', line)"
+    """Per token: what it reads, and all flags that depend on the tokens next to
+    it.  Texts end here; the windows that follow move narrow rows only."""
+    # Neighbours are compared with short words only.
+    near = "named_struct('kind', kind, 'text', left(text, 12), 'pos', pos, 'end_line', line + newlines)"
+    far = "named_struct('kind', kind, 'text', left(text, 12), 'pos', pos, 'line', line)"
+    farther = "named_struct('kind', kind, 'text', left(text, 12), 'end_line', line + newlines)"
+    ahead = "named_struct('kind', kind, 'text', left(text, 12), 'piece', left(piece, 12), 'pos', pos, 'line', line)"
+    beyond = "named_struct('kind', kind, 'piece', left(piece, 40))"
     rows = tokens.selectExpr(
         "*",
-        f"lag({near}) OVER ({_FILE}) AS p", f"lag({near}, 2) OVER ({_FILE}) AS p2",
-        f"lag({near}, 3) OVER ({_FILE}) AS p3",
-        f"lead({ahead}) OVER ({_FILE}) AS n", f"lead({ahead}, 2) OVER ({_FILE}) AS n2")
-
+        f"lag({near}) OVER ({_FILE}) AS p", f"lag({far}, 2) OVER ({_FILE}) AS p2",
+        f"lag({farther}, 3) OVER ({_FILE}) AS p3",
+        f"lead({ahead}) OVER ({_FILE}) AS n", f"lead({beyond}, 2) OVER ({_FILE}) AS n2")
+    return rows.select(
+        "file_id", "lang", "has_src", "pos", "kind", "line", "level", "unit", "pieces",
+        *[F.expr(f"coalesce({sql}, false)").alias(name) for name, sql in _flags().items()],
+        F.expr("n.pos").alias("n_pos"),
+        F.expr("CASE n.kind WHEN 'str' THEN 1 WHEN 'num' THEN 2 ELSE 0 END").alias("n_literal"),
+        F.expr("p.pos").alias("p_pos"), F.expr("p2.pos").alias("p2_pos"), F.expr("p2.line").alias("p2_line"),
+        F.expr(f"if({_FIRST}, p.text, null)").alias("opened_by"),
+        *_reads())
+
+
+def _reads() -> list[Column]:
     lang, kind, text = F.col("lang"), F.col("kind"), F.col("text")
+    has_src = F.col("has_src")
     is_name = kind == "name"
     with_paren = F.concat(text, F.when(F.col("n.kind") == "open", F.col("n.piece")).otherwise(""))
     probe = F.when((lang == PHP) & (F.col("n2.kind") == "str"),
@@ -127,135 +143,160 @@ def _neighbours(tokens: DataFrame) -> DataFrame:
     for name in STRUCT_LANGS:
         f, a, i = _sources_split(name)
         free[name], leaf[name] = match_any(probe, f), match_any(text, a)
-        inner[name] = match_any(text if name == PHP else _interpolated(text, lang), i)
+        if name in (PY, JS, PHP):
+            inner[name] = match_any(text if name == PHP else _interpolated(text, lang), i)
     object_key = (lang == JS) & (F.col("n.text") == ":") & F.col("p.text").isin("{", ",")
-    src = (F.when(is_name & by_lang(lang, free), 1).when(is_name & by_lang(lang, leaf), 2)
-           .when((kind == "str") & F.coalesce(by_lang(lang, inner), F.lit(False)), 1).otherwise(0))
-    rows = rows.select(
-        "*",
-        F.when(F.col("has_src"), src).otherwise(0).alias("src"),
-        F.when(F.col("has_src") & ~F.coalesce(object_key, F.lit(False)), _use_names(text, kind, lang)).alias("names"),
-        (F.col("has_src") & is_name & by_lang(
-            lang, {name: match_any(with_paren, pats) for name, pats in SANITIZERS.items()})).alias("san"))
-    return rows.withColumn("is_use", (F.col("src") > 0) | (F.coalesce(F.size("names"), F.lit(0)) > 0))
+    src = (F.when(is_name, F.when(by_lang(lang, free), 1).when(by_lang(lang, leaf), 2).otherwise(0))
+           .when(kind == "str", F.when(F.coalesce(by_lang(lang, inner), F.lit(False)), 1).otherwise(0))
+           .otherwise(0))
+    sanitizer = by_lang(lang, {name: match_any(with_paren, pats) for name, pats in SANITIZERS.items()})
+    return [
+        F.when(has_src, src).otherwise(0).alias("src"),
+        F.when(has_src & ~F.coalesce(object_key, F.lit(False)), _use_names(text, kind, lang)).alias("names"),
+        F.when(has_src & is_name, sanitizer).otherwise(False).alias("san"),
+    ]
 
 
 # ------------------------------------------------------------ chains and calls
 _CONNECTED = r"^(?:\\.|->|::|\\?\\.|\\?->)"
+_FIRST = "p.kind IN ('open', 'bof')"
 
 
-def _chains(rows: DataFrame) -> DataFrame:
-    """Chain starts, enclosing bracket, calls and statement ends."""
-    first = "p.kind IN ('open', 'bof')"
-    follows = ("(p.kind IN ('name', 'generic') OR (p.kind = 'close' AND p.text IN (')', ']'))"
-               " OR (p.kind = 'str' AND text = '['))")
-    chain_start = f"""CASE
-        WHEN kind = 'close' THEN false
-        WHEN kind = 'bof' OR {first} THEN true
-        WHEN kind = 'open' AND text IN ('(', '[') AND {follows}
-             AND NOT (lang = '{PY}' AND level = 0 AND line > p.end_line) THEN false
-        WHEN kind = 'generic' AND p.kind = 'name' THEN false
-        WHEN kind = 'name' AND text RLIKE '{_CONNECTED}' THEN false
-        ELSE true END"""
-    rows = rows.selectExpr(
-        "*", f"{chain_start} AS chain_start",
-        f"coalesce(sum(if(san, 1, 0)) OVER ({_FILE} {_BEFORE}), 0) AS sans",
-        f"CAST(sum(if(is_use, 1, 0)) OVER ({_FILE} {_SO_FAR}) AS INT) AS uses_so_far")
+def _flags() -> dict[str, str]:
+    brace_langs = f"lang IN ('{JS}', '{PHP}', '{JAVA}', '{C}', '{CPP}')"
+    new = "startswith(text, 'new ')"
+    c_like = f"lang IN ('{C}', '{CPP}')"
+    typed = f"({c_like} OR lang = '{JAVA}') AND p.kind IN ('name', 'generic')"
+    ends_js = f"""(lang = '{JS}' AND n.line > line + newlines
+        AND kind IN ('name', 'str', 'num', 'regex', 'close')
+        AND (n.kind IN ('name', 'kw', 'str', 'num') OR n.text = '{{'))
+        AND NOT n.text RLIKE '^(?:\\\\.|\\\\?\\\\.)' AND n.text NOT IN ('instanceof', 'in', 'of')"""
+    return {
+        "first": _FIRST,
+        # A token that continues the chain of the one before it.
+        "chain_start": f"""CASE
+            WHEN kind = 'close' THEN false
+            WHEN kind = 'bof' OR {_FIRST} THEN true
+            WHEN kind = 'open' AND text IN ('(', '[')
+                 AND (p.kind IN ('name', 'generic') OR (p.kind = 'close' AND p.text IN (')', ']'))
+                      OR (p.kind = 'str' AND text = '['))
+                 AND NOT (lang = '{PY}' AND level = 0 AND line > p.end_line) THEN false
+            WHEN kind = 'generic' AND p.kind = 'name' THEN false
+            WHEN kind = 'name' AND text RLIKE '{_CONNECTED}' THEN false
+            ELSE true END""",
+        "paren": "kind = 'open' AND text = '('",
+        "is_new": new,
+        # Read at a chain start: what follows declares instead of calling.
+        "declares": f"""p.text IN ('def', 'class', 'function', 'fn', 'func', 'interface', 'struct', 'enum', 'union')
+            OR (p.text = '*' AND p2.text = 'function')
+            OR ({c_like} AND p.text IN ('*', '&') AND p2.kind IN ('name', 'kw')
+                AND (p3.kind IN ('sep', 'bof', 'name', 'kw') OR p3.text IN ('{{', '}}')))""",
+        "typed": f"{typed} AND NOT {new}",
+        "body_after": f"{brace_langs} AND n.text = '{{'",
+        "parameters": f"""{_FIRST} AND p.text = '('
+            AND (p2.text IN ('function', 'fn') OR p3.text IN ('function', 'fn', 'def'))""",
+        "last_in_group": "kind NOT IN ('open', 'bof') AND (n IS NULL OR n.kind IN ('close', 'sep'))",
+        "ends_line": f"kind NOT IN ('open', 'bof') AND lang = '{PY}' AND level = 0 AND n.line > line + newlines",
+        "ends_js_line": ends_js,
+        "before_comma": f"kind NOT IN ('open', 'bof') AND lang <> '{PY}' AND n.kind = 'comma'",
+        # Read at the chain before an assignment.
+        "plain_name": r"kind = 'name' AND text RLIKE '^[$]*[\\w$\\x{80}-\\x{10FFFF}]+$'",
+        "a_name": "kind = 'name'",
+        "annotates": f"""p.text = ':' AND p2.kind = 'name' AND (
+            (lang = '{PY}' AND level = 0 AND (p2.line > p3.end_line OR p3.kind = 'bof'))
+            OR (lang = '{JS}' AND p3.text IN ('const', 'let', 'var')))""",
+        "dereferenced": f"{c_like} AND p.text = '*' AND NOT coalesce(p2.kind IN ('name', 'kw') OR p2.text = '*', false)",
+        "unpacked": f"lang = '{PY}' AND p.text = ','",
+        "augmented": "kind = 'assign' AND text <> '='",
+        "has_target": f"kind = 'assign' AND p.kind IN ('name', 'close') AND NOT (lang = '{PY}' AND level > 0)",
+        "before_paren": "n.text = '('",
+        "after_bracket": "kind = 'assign' AND p.text = ']'",
+    }
+
 
-    start = ("named_struct('pos', pos, 'line', line, 'text', left(text, 80), 'kind', kind, 'sans', sans,"
-             " 'p', p, 'p2', p2, 'p3', p3)")
+def _chains(rows: DataFrame) -> DataFrame:
+    """Calls, chain facts, and statement ends, by windows over one level."""
+    rows = rows.withColumn("is_use", (F.col("src") > 0) | (F.coalesce(F.size("names"), F.lit(0)) > 0)).selectExpr(
+        "*",
+        f"CAST(coalesce(sum(if(san, 1, 0)) OVER ({_FILE} {_BEFORE}), 0) AS INT) AS sans",
+        f"CAST(sum(if(is_use, 1, 0)) OVER ({_FILE} {_SO_FAR}) AS INT) AS uses_so_far",
+    ).where("""kind NOT IN ('op', 'kw', 'comma', 'sep') OR first OR is_use OR last_in_group OR ends_line
+               OR ends_js_line OR before_comma""").drop("san")
+
+    chain = ("named_struct('pos', pos, 'line', line, 'sans', sans, 'is_new', is_new, 'declares', declares,"
+             " 'typed', typed, 'name', a_name, 'plain', plain_name, 'annotates', annotates,"
+             " 'dereferenced', dereferenced, 'unpacked', unpacked, 'name_pos', p2_pos, 'name_line', p2_line)")
     rows = rows.selectExpr(
         "*",
-        f"last(if(chain_start, {start}, null), true) OVER ({_LEVEL} {_SO_FAR}) AS c",
-        f"last(if({first}, named_struct('open', p.text, 'h1', p2.text, 'h2', p3.text), null), true)"
+        f"last(if(chain_start, {chain}, null), true) OVER ({_LEVEL} {_SO_FAR}) AS c",
+        f"last(if(first, named_struct('open', opened_by, 'parameters', parameters), null), true)"
         f" OVER ({_LEVEL} {_SO_FAR}) AS g",
-        f"if(kind = 'open', lead(named_struct('kind', kind, 'pos', pos, 'uses', uses_so_far, 'after', n.text))"
+        f"if(kind = 'open', lead(named_struct('pos', pos, 'uses', uses_so_far, 'body', body_after))"
         f" OVER ({_LEVEL}), null) AS m")
+    call = """(paren AND NOT chain_start AND NOT c.declares AND NOT (c.typed AND c.pos = p_pos)
+               AND NOT (coalesce(m.body, false) AND NOT c.is_new))"""
+    rows = rows.selectExpr(
+        "*", f"coalesce({call}, false) AS call",
+        "last_in_group OR ends_line OR (ends_js_line AND coalesce(g.open, '') IN ('', '{')) AS ends_stmt",
+    ).withColumn("cleans", F.expr("call AND sans > c.sans")).drop(
+        "paren", "is_new", "declares", "typed", "body_after", "first", "opened_by", "parameters", "last_in_group",
+        "ends_line", "ends_js_line", "a_name", "plain_name", "annotates", "dereferenced", "unpacked", "p2_pos",
+        "p2_line")
 
-    brace_langs = f"'{JS}', '{PHP}', '{JAVA}', '{C}', '{CPP}'"
-    no_call = f"""(
-        c.p.text IN ('def', 'class', 'function', 'fn', 'func', 'interface', 'struct', 'enum', 'union')
-        OR (c.p.text = '*' AND c.p2.text = 'function')
-        OR (lang IN ('{C}', '{CPP}', '{JAVA}') AND c.p.kind IN ('name', 'generic') AND c.pos = p.pos
-            AND NOT startswith(c.text, 'new '))
-        OR (lang IN ('{C}', '{CPP}') AND c.p.text IN ('*', '&') AND c.p2.kind IN ('name', 'kw')
-            AND (c.p3.kind IN ('sep', 'bof', 'name', 'kw') OR c.p3.text IN ('{{', '}}')))
-        OR (lang IN ({brace_langs}) AND m.after = '{{' AND NOT startswith(c.text, 'new ')))"""
-    no_call = no_call.replace("{{", "{").replace("}}", "}")
-    call = f"(kind = 'open' AND text = '(' AND NOT chain_start AND NOT coalesce({no_call}, false))"
-    ends_js = """(lang = 'javascript' AND g.open IN ('', '{') AND n.line > line + newlines
-        AND kind IN ('name', 'str', 'num', 'regex', 'close')
-        AND (n.kind IN ('name', 'kw', 'str', 'num', 'echo') OR n.text = '{')
-        AND NOT n.text RLIKE '^(?:\\\\.|\\\\?\\\\.)' AND n.text NOT IN ('instanceof', 'in', 'of'))"""
-    ends_py = f"(lang = '{PY}' AND level = 0 AND n.line > line + newlines)"
-    ends_any = f"(kind NOT IN ('open', 'bof') AND (n IS NULL OR n.kind IN ('close', 'sep') OR {ends_py} OR {ends_js}))"
-    ends = f"({ends_any} OR (kind NOT IN ('open', 'bof') AND lang <> '{PY}' AND n.kind = 'comma'))"
-    rows = rows.selectExpr("*", f"{call} AS call", f"coalesce({ends_any}, false) AS ends_stmt",
-                           f"coalesce({ends}, false) AS ends_expr")
-
-    done = "named_struct('calls', calls_so_far, 'last', last_call)"
     rows = rows.selectExpr(
         "*",
-        f"sum(if(call, 1, 0)) OVER ({_LEVEL} {_SO_FAR}) AS calls_so_far",
-        f"last(if(call, named_struct('pos', pos, 'sans', sans), null), true) OVER ({_LEVEL} {_SO_FAR}) AS last_call",
-        f"if(kind = 'close', lag(named_struct('call', call, 'pos', pos)) OVER ({_LEVEL}), null) AS o")
+        f"CAST(sum(if(call, 1, 0)) OVER ({_LEVEL} {_SO_FAR}) AS INT) AS calls_so_far",
+        f"CAST(sum(if(cleans, 1, 0)) OVER ({_LEVEL} {_SO_FAR}) AS INT) AS cleans_so_far",
+        f"if(kind = 'close', lag(if(call, named_struct('pos', pos, 'cleans', cleans), null)) OVER ({_LEVEL}), null)"
+        " AS opened")
+
+    # A chain's calls are those counted before the next chain on its level begins.
+    done = "named_struct('calls', calls_so_far, 'cleans', cleans_so_far)"
+    end = "named_struct('pos', pos, 'uses', uses_so_far, 'chain', c.pos, 'call_open', opened.pos)"
     rows = rows.selectExpr(
         "*",
         f"if(chain_start, coalesce(lead(if(chain_start, {done}, null)) IGNORE NULLS OVER ({_LEVEL}),"
-        f" last({done}) OVER ({_LEVEL} {_ALL})), null) AS d")
-    rows = rows.selectExpr(
-        "*",
-        "if(chain_start, CAST(d.calls - calls_so_far AS INT), 0) AS chain_calls",
-        "(chain_start AND d.calls > calls_so_far AND d.last.sans > sans) AS chain_clean")
-    end = ("named_struct('pos', pos, 'uses', uses_so_far, 'chain', c.pos, 'call_open', if(o.call, o.pos, null))")
-    rows = rows.selectExpr(
-        "*",
-        f"last(if(chain_start, named_struct('before', calls_so_far, 'calls', chain_calls, 'clean', chain_clean), null),"
-        f" true) OVER ({_LEVEL} {_SO_FAR}) AS k",
-        f"lead(if(ends_expr, {end}, null)) IGNORE NULLS OVER ({_LEVEL}) AS e",
+        f" last({done}) OVER ({_LEVEL} {_ALL})), null) AS d",
+        f"lead(if(ends_stmt OR before_comma, {end}, null)) IGNORE NULLS OVER ({_LEVEL}) AS e",
         f"lead(if(ends_stmt, {end}, null)) IGNORE NULLS OVER ({_LEVEL}) AS es",
         f"if(kind = 'assign', lag(c) OVER ({_LEVEL}), null) AS l")
-    return rows
+    return rows.selectExpr(
+        "*",
+        "if(chain_start, d.calls - calls_so_far, 0) AS chain_calls",
+        "if(chain_start, d.cleans - cleans_so_far, 0) AS chain_cleans").drop("d", "calls_so_far", "cleans_so_far")
 
 
 def _depths(rows: DataFrame) -> DataFrame:
-    clean_end = "(kind = 'close' AND o.call AND k.clean AND calls_so_far - k.before = k.calls)"
+    """How many callee spans and sanitizer spans lie around each token."""
     return rows.selectExpr(
         "*",
         f"CAST(sum(chain_calls - if(call, 1, 0)) OVER ({_FILE} {_SO_FAR}) AS INT) AS cover",
-        f"CAST(sum(if(chain_clean, 1, 0)) OVER ({_FILE} {_SO_FAR})"
-        f" - coalesce(sum(if({clean_end}, 1, 0)) OVER ({_FILE} {_BEFORE}), 0) AS INT) AS clean")
+        f"CAST(sum(chain_cleans) OVER ({_FILE} {_SO_FAR})"
+        f" - coalesce(sum(if(opened.cleans, 1, 0)) OVER ({_FILE} {_BEFORE}), 0) AS INT) AS clean")
 
 
 # --------------------------------------------------------------- one row per file
 def _definition() -> str:
-    """Assignment fact, or null where the token assigns nothing."""
-    simple_name = r"l.kind = 'name' AND l.pos = p.pos AND l.text RLIKE '^[$]*[\\w$\\x{80}-\\x{10FFFF}]+$'"
-    annotated = f"""(l.p.text = ':' AND l.p2.kind = 'name' AND (
-        (lang = '{PY}' AND level = 0 AND l.p2.line > l.p3.end_line OR lang = '{PY}' AND l.p3.kind = 'bof')
-        OR (lang = '{JS}' AND l.p3.text IN ('const', 'let', 'var'))))"""
-    declared = (f"(lang IN ('{C}', '{CPP}', '{JAVA}') AND l.kind = 'name' AND l.p.kind IN ('name', 'generic')"
-                f" AND p.text = ']')")
-    through_pointer = (f"(lang IN ('{C}', '{CPP}') AND l.p.text = '*'"
-                       f" AND NOT coalesce(l.p2.kind IN ('name', 'kw') OR l.p2.text = '*', false))")
-    unpacked = f"(lang = '{PY}' AND l.p.text = ',')"
-    keyword_argument = f"(lang = '{PY}' AND level > 0)"
-    parameter = "(g.open = '(' AND (g.h1 IN ('function', 'fn') OR g.h2 IN ('function', 'fn', 'def')))"
-    return f"""if(kind = 'assign' AND l IS NOT NULL AND l.kind <> 'bof' AND p.kind IN ('name', 'close')
-        AND NOT {keyword_argument} AND NOT coalesce({parameter}, false),
+    """Assignment fact, or null where the token assigns nothing.
+
+    An annotated name (``x: int = 1``) and a declared array (``char b[8] = ...``)
+    are plain variables; a dereference or a tuple is not."""
+    simple = f"""(l.annotates
+        OR (lang IN ('{C}', '{CPP}', '{JAVA}') AND l.name AND l.typed AND after_bracket)
+        OR (l.plain AND l.pos = p_pos AND NOT l.dereferenced AND NOT l.unpacked))"""
+    return f"""if(has_target AND l IS NOT NULL AND NOT coalesce(g.parameters, false),
         named_struct(
-            'start', if(coalesce({annotated}, false), l.p2.pos, l.pos),
-            'line', if(coalesce({annotated}, false), l.p2.line, l.line),
+            'start', if(l.annotates, l.name_pos, l.pos),
+            'line', if(l.annotates, l.name_line, l.line),
             'pos', pos,
-            'name_pos', if(coalesce({annotated}, false), l.p2.pos, l.pos),
-            'simple', (coalesce({annotated}, false) OR coalesce({declared}, false)
-                       OR ({simple_name} AND NOT coalesce({through_pointer}, false) AND NOT coalesce({unpacked}, false))),
-            'reads_lhs', text <> '=',
-            'rhs', n.pos,
+            'name_pos', if(l.annotates, l.name_pos, l.pos),
+            'simple', coalesce({simple}, false),
+            'reads_lhs', augmented,
+            'rhs', n_pos,
             'end', e.pos,
-            'literal', coalesce(n.kind IN ('str', 'num') AND e.pos = n.pos, false),
-            'literal_kind', n.kind,
-            'call_open', if(e.chain = n.pos, e.call_open, null),
+            'literal', coalesce(n_literal > 0 AND e.pos = n_pos, false),
+            'literal_kind', if(n_literal = 1, 'str', 'num'),
+            'call_open', if(e.chain = n_pos, e.call_open, null),
             'uses_lo', uses_so_far, 'uses_hi', e.uses, 'cover', cover, 'clean', clean), null)"""
 
 
@@ -269,7 +310,7 @@ def file_facts(units: DataFrame) -> DataFrame:
     # An anchored source counts outside receivers; at the start of a chain its own
     # calls do not count as cover (``$_GET['x']->f()``), for an exact name only if
     # the chain is that one call (``input()``).
-    own = f"CASE WHEN src <> 2 OR NOT chain_start THEN 0 WHEN lang = '{PHP}' OR (chain_calls = 1 AND n.text = '(') " \
+    own = f"CASE WHEN src <> 2 OR NOT chain_start THEN 0 WHEN lang = '{PHP}' OR (chain_calls = 1 AND before_paren) " \
           "THEN chain_calls ELSE 0 END"
     use = f"""if(is_use, named_struct('pos', pos, 'names', coalesce(names, CAST(array() AS ARRAY<STRING>)),
         'src', src, 'cover', cover, 'leaf_cover', cover - {own}, 'clean', clean), null)"""

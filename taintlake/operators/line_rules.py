@@ -31,10 +31,7 @@ def _any(col: Column, rules: list[Rule]) -> Column:
 
 
 def _prefilter(col: Column, rules: list[Rule]) -> Column:
-    loose = [p for r in rules if r.engine != "secrets" for p in r.sink_patterns]
-    exact = [r for r in rules if r.engine == "secrets"]
-    cond = prefilter(col, loose) if loose else F.lit(False)
-    return cond | _any(col, exact) if exact else cond
+    return prefilter(col, [p for r in rules for p in r.sink_patterns])
 
 
 def line_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:

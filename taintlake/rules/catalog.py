@@ -297,7 +297,7 @@ def _line(engine, name, pattern, taint, severity, score, cwe, category, confiden
     prefix = {"fallback": "FALLBACK-", "config": "CONFIGSCAN-", "secrets": "SECRETSCAN-"}[engine]
     return dict(rule_id=prefix + name.replace(" ", "_"), engine=engine, kind="line", name=name, cwe=cwe,
                 severity=severity, score=score, category=category, confidence=confidence, languages=[],
-                sink_patterns=[pattern], args_pattern=None, args_must_match=None, lhs_name_pattern=None,
+                sink_patterns=[pattern] if isinstance(pattern, str) else pattern, args_pattern=None, args_must_match=None, lhs_name_pattern=None,
                 requires_taint=taint, recommendation=fix, explanation=why)
 
 
@@ -331,7 +331,7 @@ _SECRETS = [
     _line("secrets", name, pattern, False, "Critical", 9.1, "CWE-798", "Secrets", "High", *_SECRET_ADVICE)
     for name, pattern in [
         ("AWS Access Key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-        ("GitHub Token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})"),
+        ("GitHub Token", [r"\bgh[pousr]_[A-Za-z0-9]{36,}", r"\bgithub_pat_[A-Za-z0-9_]{22,}"]),
         ("Stripe Key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
         ("Slack Token", r"\bxox[abprs]-[0-9A-Za-z-]{10,}"),
         ("Google API Key", r"\bAIza[0-9A-Za-z_-]{35}"),

@@ -55,7 +55,11 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     aws = F.concat(F.lit("AKIA"), F.lpad(key, 16, "0"))
     content = F.replace(F.replace(body, F.lit("{k}"), key), F.lit("{aws}"), aws)
     file_name = F.concat(F.lit("f"), key, ext)
-    return table(spark, sf_dir, "orders").select(
+    # The keys fit in one input split; they are spread before texts are built on
+    # them, as a real source tree of that size would be.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(
+        spark.sparkContext.defaultParallelism * 2, "o_orderkey")
+    return orders.select(
         F.concat(F.lit("repo"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), file_name).alias("path"),
         file_name.alias("file_name"), content.alias("content"), tid.alias("tid"))
 
