@@ -53,7 +53,7 @@ def html_attrs(src_files: DataFrame) -> DataFrame:
     def tag_parts(piece: Column) -> Column:
         head = F.regexp_extract(piece, _OPEN_TAG, 0)
         raw = F.length(head) > 0
-        is_tag = F.substring(piece, 1, 1).eqNullSafe("<") & (F.length(piece) > 1) & ~piece.startswith("<!--")
+        is_tag = piece.rlike(r"^<[A-Za-z?]")
         tag = F.when(raw, head).otherwise(piece)
         parts = F.transform(F.regexp_extract_all(tag, F.lit(_IN_TAG), F.lit(0)),
                             lambda x: F.struct(F.lit(True).alias("in_tag"), x.alias("piece")))

@@ -82,8 +82,15 @@ def _explode_hits(rows: DataFrame, rules: list[Rule], cond) -> DataFrame:
                     text.snippet(F.col("line")).alias("snippet")))
 
 
-def match_rules(rows: DataFrame, col: str, rules: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Join of texts with a table of patterns that is too large or too volatile
-    for literals.  Every pattern is tried on every row, so this is the slow way;
-    the rule table is what travels, and only if Spark finds it small."""
-    return rows.join(rules, F.regexp_like(F.col(col), F.col(pattern)))
+def match_rules(rows: DataFrame, col: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """Rows with one ``rule_id`` per pattern found in a text column.  Patterns are
+    literals in batches, so each row is read once per batch and no join is made."""
+    out = None
+    for i in range(0, len(rules), 100):
+        batch = rules[i:i + 100]
+        hit = F.array_compact(F.array(*[F.when(match_any(F.col(col), [p]), F.lit(r)) for r, p in batch]))
+        part = rows.where(match_any(F.col(col), [p for _, p in batch])).withColumn("rule_id", F.explode(hit))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no rules given")
+    return out

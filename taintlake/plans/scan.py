@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from taintlake.operators import detect, facts, html, line_rules, report
 from taintlake.operators.project import engine_of, fill_finding_defaults, with_lang
-from taintlake.rules.catalog import RULES, Rule
+from taintlake.rules.catalog import RULES, Rule, rules_frame
 from taintlake.rules.custom import merge_rules
 
 
@@ -45,15 +45,14 @@ def rule_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
     return report.union_findings(*hits)
 
 
-def to_findings(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+def to_findings(hits: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
     """Hits to finding rows.  The catalogue is a handful of constants; the join
     is on its ordinal and Spark broadcasts it by its known size."""
-    from taintlake.rules.catalog import rules_frame
     catalogue = rules_frame(hits.sparkSession, rules).drop("languages", "sink_patterns", "kind", "engine")
     rows = hits.join(catalogue, "rule_ord").select(
         F.col("path").alias("file_path"), "line", F.col("name").alias("vuln_type"), "severity", "score", "cwe",
         "confidence", "category", "explanation", "recommendation", "lang",
-        F.col("snippet").alias("code_snippet"), "rule_id", "seq")
+        F.col("snippet").alias("code_snippet"), "rule_id", "seq", *(keep or []))
     return fill_finding_defaults(rows)
 
 

@@ -47,7 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per order, ``src_files`` plus the template number."""
+    """One source file per order.  The keys fit in one input split; they are spread
+    before texts are built on them, as a real source tree of that size would be."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return code_files(orders.repartition(spark.sparkContext.defaultParallelism * 2, "o_orderkey"))
+
+
+def code_files(orders: DataFrame) -> DataFrame:
+    """``src_files`` built on order keys, with the template number."""
     key = F.col("o_orderkey").cast("string")
     tid = (F.col("o_orderkey") % len(TEMPLATES)).cast("int")
     ext = F.element_at(F.array(*[F.lit(e) for e, _ in TEMPLATES]), tid + 1)
@@ -55,10 +62,6 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     aws = F.concat(F.lit("AKIA"), F.lpad(key, 16, "0"))
     content = F.replace(F.replace(body, F.lit("{k}"), key), F.lit("{aws}"), aws)
     file_name = F.concat(F.lit("f"), key, ext)
-    # The keys fit in one input split; they are spread before texts are built on
-    # them, as a real source tree of that size would be.
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(
-        spark.sparkContext.defaultParallelism * 2, "o_orderkey")
     return orders.select(
         F.concat(F.lit("repo"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), file_name).alias("path"),
         file_name.alias("file_name"), content.alias("content"), tid.alias("tid"))
