@@ -26,13 +26,26 @@ def match_any(col: Column, patterns: Iterable[str]) -> Column:
     return col.rlike(FLAGS + alternation(patterns)) if patterns else F.lit(False)
 
 
-def by_lang(lang: Column, per_lang: dict[str, Column], default: Column | None = None) -> Column:
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(sql: str, patterns: Iterable[str], flags: str = FLAGS) -> str:
+    """``match_any`` as SQL text.  Conditions over whole rule lists are written as
+    text, since a call into the JVM per operator is slow for the driver."""
+    patterns = list(patterns)
+    return f"({sql} RLIKE {quoted(flags + alternation(patterns))})" if patterns else "false"
+
+
+def one_of(sql: str, values: Iterable[str]) -> str:
+    return f"({sql} IN ({', '.join(quoted(v) for v in values)}))"
+
+
+def lang_case(per_lang: dict[str, str], default: str = "false", lang: str = "lang") -> str:
     """CASE over the language; only the branch of the row's language runs."""
-    out = None
-    for name, value in per_lang.items():
-        out = F.when(lang == name, value) if out is None else out.when(lang == name, value)
-    default = F.lit(False) if default is None else default
-    return default if out is None else out.otherwise(default)
+    return f"(CASE {lang} " + " ".join(
+        f"WHEN {quoted(name)} THEN {sql}" for name, sql in per_lang.items()) + f" ELSE {default} END)"
 
 
 def widen(pattern: str) -> str | None:
@@ -94,36 +107,29 @@ def _words_of(tree) -> frozenset[str] | None:
 _FOLDING = ["\u017f", "\u0131", "\u0307", "\u212a"]
 
 
-def prefilter_by_lang(content: Column, lang: Column | None, per_lang: dict[str, list[str]]) -> Column:
-    """Necessary condition on a whole text for any of its language's patterns.
+def may_match(per_lang: dict[str, list[str]], content: str = "content") -> str:
+    """SQL condition on a whole text, necessary for any of its language's patterns.
 
     Substring tests on the text in lower case, many times cheaper than an
     alternation of regexes.  The one-element transform binds the lower-case text
     so that it is computed once for all tests.
     """
-    words: dict[str, set[str] | None] = {}
-    for name, patterns in per_lang.items():
-        sets = [required_words(p) for p in patterns]
-        words[name] = None if any(w is None for w in sets) else set().union(*sets)
-
-    def test(lower: Column) -> Column:
-        def any_word(ws: set[str] | None) -> Column:
-            if ws is None:
-                return F.lit(True)
-            # A word that contains another one is found whenever that one is.
-            least = sorted(w for w in ws if not any(o != w and o in w for o in ws))
-            if not least:
-                return F.lit(False)
-            cond = lower.contains(least[0])
-            for w in least[1:] + _FOLDING:
-                cond = cond | lower.contains(w)
-            return cond
-        if lang is None:
-            return any_word(words[next(iter(words))])
-        return by_lang(lang, {name: any_word(ws) for name, ws in words.items()})
-
-    return F.coalesce(F.element_at(F.transform(F.array(F.lower(content)), test), 1), F.lit(False))
-
-
-def prefilter(content: Column, patterns: Iterable[str]) -> Column:
-    return prefilter_by_lang(content, None, {"": list(patterns)})
+    tests = {name: _any_word(patterns) for name, patterns in per_lang.items()}
+    inner = tests[""] if set(tests) == {""} else lang_case(tests)
+    return f"coalesce(element_at(transform(array(lower({content})), t -> {inner}), 1), false)"
+
+
+def _any_word(patterns: list[str]) -> str:
+    sets = [required_words(p) for p in patterns]
+    if any(w is None for w in sets):
+        return "true"
+    words = frozenset().union(*sets)
+    # A word that contains another one is found whenever that one is.
+    least = sorted(w for w in words if not any(o != w and o in w for o in words))
+    if not least:
+        return "false"
+    return "(" + " OR ".join(f"contains(t, {quoted(w)})" for w in least + _FOLDING) + ")"
+
+
+def prefilter(patterns: Iterable[str], content: str = "content") -> Column:
+    return F.expr(may_match({"": list(patterns)}, content))

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taintlake.functions import text
-from taintlake.functions.patterns import by_lang, match_any, prefilter_by_lang, widen
+from taintlake.functions.patterns import lang_case, matches, may_match, one_of, quoted, widen
 from taintlake.operators.facts import may_have_source
 from taintlake.rules.catalog import NUMBER_LITERAL_LANGS, PHP, PLACEHOLDERS, REDOS_SHAPES, STRUCT_LANGS, Rule
 
@@ -39,7 +39,7 @@ def _patterns(rules: Iterable[Rule], lang: str, kinds: Iterable[str], field: str
     return list(dict.fromkeys(p for p in out if p))
 
 
-def worth_parsing(content: Column, lang: Column, rules: list[Rule]) -> Column:
+def worth_parsing(rules: list[Rule]) -> Column:
     """Necessary condition, checked on the raw text before anything is shuffled:
     some rule that needs no taint may match, or a source and a sink both occur."""
     plain, tainted = {}, {}
@@ -49,8 +49,7 @@ def worth_parsing(content: Column, lang: Column, rules: list[Rule]) -> Column:
         tainted[name] = _patterns(rules, name, ("call_taint", "assign_taint"))
         if name == PHP and tainted[name]:
             tainted[name] = tainted[name] + _PHP_STATEMENTS
-    return (prefilter_by_lang(content, lang, plain)
-            | (may_have_source(content, lang) & prefilter_by_lang(content, lang, tainted)))
+    return F.expr(f"{may_match(plain)} OR ({may_have_source()} AND {may_match(tainted)})")
 
 
 # ------------------------------------------------------------------- candidates
@@ -155,15 +154,15 @@ def with_events(facts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     without any source keep only what taint-free rules can use."""
     calls, defs = _call_events(), _assign_events()
     if rules is not None:
-        lhs = {n: _patterns(rules, n, ("assign_literal", "lhs_random"), "lhs_name_pattern") for n in STRUCT_LANGS}
-        lang = F.col("lang")
-        calls = F.filter(calls, lambda c: by_lang(lang, {
-            n: match_any(c["callee"], [widen(p) or p for p in _patterns(rules, n, CALL_KINDS)])
-            for n in STRUCT_LANGS}))
-        defs = F.filter(defs, lambda d: F.col("has_src") | F.coalesce(
-            by_lang(lang, {n: match_any(d["var"], lhs[n]) for n in STRUCT_LANGS}), F.lit(False)))
+        callee = lang_case({n: matches("c.callee", [widen(p) or p for p in _patterns(rules, n, CALL_KINDS)])
+                            for n in STRUCT_LANGS})
+        name = lang_case({n: matches("d.var", _patterns(rules, n, ("assign_literal", "lhs_random"),
+                                                        "lhs_name_pattern")) for n in STRUCT_LANGS})
+        facts = facts.withColumn("call_events", calls).withColumn("def_events", defs)
+        calls = F.expr(f"filter(call_events, c -> {callee})")
+        defs = F.expr(f"filter(def_events, d -> has_src OR coalesce({name}, false))")
     events = F.sort_array(F.concat(defs, calls, _statement_events()))
-    return facts.withColumn("events", events)
+    return facts.withColumn("events", events).drop("call_events", "def_events")
 
 
 def candidates(facts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -194,53 +193,52 @@ def candidates(facts: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ rules
-def looks_like_redos(col: Column) -> Column:
-    return col.rlike(REDOS_SHAPES[0]) | col.rlike(REDOS_SHAPES[1])
+def looks_like_redos(sql: str) -> str:
+    return f"({sql} RLIKE {quoted(REDOS_SHAPES[0])} OR {sql} RLIKE {quoted(REDOS_SHAPES[1])})"
 
 
-def is_real_literal(col: Column) -> Column:
+def is_real_literal(sql: str) -> str:
     """A literal long enough to be a credential and no known placeholder."""
-    bare = F.lower(text.strip(F.regexp_replace(col, "^[\"']+|[\"']+$", "")))
-    return ~bare.isin(PLACEHOLDERS) & (F.length(bare) >= 4)
+    bare = f"regexp_replace({sql}, {quoted('^[\"' + chr(39) + ']+|[\"' + chr(39) + ']+$')}, '')"
+    bare = f"lower(trim(BOTH {quoted(text.WHITE_SPACE)} FROM {bare}))"
+    return f"(NOT {one_of(bare, PLACEHOLDERS)} AND length({bare}) >= 4)"
 
 
-def _meets_sink(callee: Column, whole: Column, patterns: list[str]) -> Column:
+def _meets_sink(patterns: list[str]) -> str:
     """Sinks are searched in the callee; one with a look-ahead must also hold in
     the whole call, as the look-ahead asks about its arguments."""
-    simple = [p for p in patterns if "(?!" not in p]
-    ahead = [p for p in patterns if "(?!" in p]
-    cond = match_any(callee, simple)
-    for p in ahead:
-        cond = cond | (match_any(callee, [widen(p) or p]) & whole.rlike("(?iUs)" + p))
-    return cond
+    cond = matches("callee", [p for p in patterns if "(?!" not in p])
+    for p in patterns:
+        if "(?!" in p:
+            cond += f" OR ({matches('callee', [widen(p) or p])} AND {matches('text', [p], '(?iUs)')})"
+    return f"({cond})"
 
 
-def rule_condition(r: Rule) -> Column:
-    kind, callee, args, whole = F.col("kind"), F.col("callee"), F.col("args"), F.col("text")
-    tainted, var, literal = F.col("tainted"), F.col("var"), F.col("literal")
+def rule_condition(r: Rule) -> str:
     langs = [n for n in STRUCT_LANGS if n in r.languages or "all" in r.languages]
-    here = F.col("lang").isin(langs) & (tainted if r.requires_taint else ~tainted)
+    cond = ["tainted" if r.requires_taint else "NOT tainted", one_of("lang", langs) if langs else "false"]
     if r.kind in CALL_KINDS:
-        cond = here & (kind == "call") & _meets_sink(callee, whole, r.sink_patterns)
+        cond += ["kind = 'call'", _meets_sink(r.sink_patterns)]
         if r.args_pattern:
-            cond = cond & match_any(args, [r.args_pattern])
+            cond.append(matches("args", [r.args_pattern]))
         if r.kind == "missing_flag":
-            cond = cond & ~match_any(args, [r.args_must_match])
+            cond.append("NOT " + matches("args", [r.args_must_match]))
         if r.rule_id == "REDOS-1":
-            cond = cond & looks_like_redos(args)
+            cond.append(looks_like_redos("args"))
     elif r.kind == "assign_taint":
-        cond = here & (kind == "assign") & match_any(callee, r.sink_patterns)
+        cond += ["kind = 'assign'", matches("callee", r.sink_patterns)]
     elif r.kind == "assign_literal":
-        cond = here & literal.isNotNull() & match_any(var, [r.lhs_name_pattern]) & is_real_literal(literal)
+        cond += ["literal IS NOT NULL", matches("var", [r.lhs_name_pattern]), is_real_literal("literal")]
     else:  # lhs_random
-        cond = (here & (kind == "define") & callee.isNotNull() & match_any(var, [r.lhs_name_pattern])
-                & match_any(callee, r.sink_patterns))
-    return cond
+        cond += ["kind = 'define'", "callee IS NOT NULL", matches("var", [r.lhs_name_pattern]),
+                 matches("callee", r.sink_patterns)]
+    return " AND ".join(cond)
 
 
 def struct_hits(cands: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rule hits ``(path, lang, line, rule_ord, seq, snippet)``."""
-    hit = F.array_compact(F.array(*[F.when(rule_condition(r), F.lit(r.rule_ord)) for r in rules]))
+    hit = F.expr("array_compact(array(" + ", ".join(
+        f"if({rule_condition(r)}, {r.rule_ord}, null)" for r in rules) + "))")
     return (cands.withColumn("rule_ord", F.explode(hit))
             .select("path", F.col("out_lang").alias("lang"), "line", "rule_ord",
                     (F.col("unit_no").cast("long") * F.lit(1 << 44) + F.col("idx").cast("long") * 4096

@@ -18,9 +18,9 @@ Vocabulary
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from taintlake.functions.patterns import by_lang, match_any, prefilter_by_lang, widen
+from taintlake.functions.patterns import lang_case, matches, may_match, quoted, widen
 from taintlake.operators.lexer import lex
 from taintlake.rules.catalog import C, CPP, JAVA, JS, PHP, PY, SANITIZERS, STRUCT_LANGS, TAINT_SOURCES
 
@@ -32,9 +32,9 @@ _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def may_have_source(content: Column, lang: Column) -> Column:
-    """Necessary condition for any tainted value in a text."""
-    return prefilter_by_lang(content, lang, TAINT_SOURCES)
+def may_have_source() -> str:
+    """Necessary condition for any tainted value in ``content``."""
+    return may_match(TAINT_SOURCES)
 
 
 def as_units(src_files: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def _one_per_file(units: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- token table
 def located_tokens(units: DataFrame) -> DataFrame:
     """Tokens with line and bracket level, comments and line ends dropped."""
-    files = _one_per_file(units).withColumn("has_src", may_have_source(F.col("content"), F.col("lang")))
+    files = _one_per_file(units).withColumn("has_src", F.expr(may_have_source()))
     rows = lex(files, CARRY)
     step = "CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END"
     return rows.selectExpr(
@@ -71,33 +71,36 @@ def located_tokens(units: DataFrame) -> DataFrame:
     ).where("kind NOT IN ('nl', 'comment')")
 
 
-def _interpolated(text: Column, lang: Column) -> Column:
-    """Code inside a string literal, with sanitized parts and callee names removed."""
-    inner = by_lang(lang, {
-        PY: F.when(F.lower(F.regexp_extract(text, r"^[A-Za-z]*", 0)).contains("f"),
-                   F.array_join(F.regexp_extract_all(text, F.lit(r"(?<!\{)\{([^{}]+)\}"), F.lit(1)), " ")),
-        JS: F.when(text.startswith("`"),
-                   F.array_join(F.regexp_extract_all(
-                       text, F.lit(r"\$\{((?:[^{}]|\{[^{}]*+\})*+)\}"), F.lit(1)), " ")),
-    }, F.lit(None).cast("string"))
-    names = {lang_: "|".join(p.removesuffix(r"\(") for p in SANITIZERS[lang_]) for lang_ in (PY, JS)}
-    for pats in names.values():
-        inner = F.regexp_replace(inner, rf"(?i)[\w$.]*(?:{pats})[\w$.]*\s*\((?:[^()]|\([^()]*\))*+\)", " ")
-    return inner
+def _interpolated() -> str:
+    """Code inside a string literal, with sanitized parts removed."""
+    f_string = quoted(r"(?<!\{)\{([^{}]+)\}")
+    template = quoted(r"\$\{((?:[^{}]|\{[^{}]*+\})*+)\}")
+    sql = lang_case({
+        PY: f"if(lower(regexp_extract(text, '^[A-Za-z]*', 0)) LIKE '%f%',"
+            f" array_join(regexp_extract_all(text, {f_string}, 1), ' '), null)",
+        JS: f"if(startswith(text, '`'), array_join(regexp_extract_all(text, {template}, 1), ' '), null)",
+    }, "null")
+    for name in (PY, JS):
+        names = "|".join(p.removesuffix(r"\(") for p in SANITIZERS[name])
+        call = rf"(?i)[\w$.]*(?:{names})[\w$.]*\s*\((?:[^()]|\([^()]*\))*+\)"
+        sql = f"regexp_replace({sql}, {quoted(call)}, ' ')"
+    return f"if(has_src AND kind = 'str', {sql}, null)"
 
 
-def _use_names(text: Column, kind: Column, lang: Column) -> Column:
+def _use_names() -> str:
     """Variable names read by a token, without ``$``."""
-    plain = F.regexp_replace(text, r"^new\s+", "")
-    dotted = F.filter(F.split(plain, r"\s*(?:\.|::)\s*"), lambda w: w != "")
-    first = F.regexp_extract_all(plain, F.lit(r"\A\$*([\w$\x{80}-\x{10FFFF}]+)"), F.lit(1))
-    php_var = F.regexp_extract_all(plain, F.lit(r"\A\$+([\w\x{80}-\x{10FFFF}]+)"), F.lit(1))
-    name = by_lang(lang, {PY: dotted, JAVA: dotted, PHP: php_var}, first)
-    in_php = F.when(text.startswith('"') | (text.startswith("<<<") & ~text.startswith("<<<'")),
-                    F.regexp_extract_all(text, F.lit(r"(?<!\\)\$\{?(\w+)"), F.lit(1)))
-    code = F.regexp_replace(_interpolated(text, lang), r"[\w$.]+\s*\(", " ")
-    in_code = F.regexp_extract_all(code, F.lit(r"(?<![\w$.])([A-Za-z_$][\w$]*)"), F.lit(1))
-    return F.when(kind == "name", name).when(kind == "str", F.when(lang == PHP, in_php).otherwise(in_code))
+    plain = f"regexp_replace(text, {quoted(r'^new\s+')}, '')"
+    dotted = f"filter(split({plain}, {quoted(r'\s*(?:\.|::)\s*')}), w -> w <> '')"
+    letters = r"[\w$\x{80}-\x{10FFFF}]+"
+    first = f"regexp_extract_all({plain}, {quoted(rf'\A\$*({letters})')}, 1)"
+    php_name = quoted(r"\A\$+([\w\x{80}-\x{10FFFF}]+)")
+    name = lang_case({PY: dotted, JAVA: dotted, PHP: f"regexp_extract_all({plain}, {php_name}, 1)"}, first)
+    in_php = (f"if(startswith(text, '\"') OR (startswith(text, '<<<') AND NOT startswith(text, {quoted('<<<' + chr(39))})),"
+              f" regexp_extract_all(text, {quoted(r'(?<!\\)\$\{?(\w+)')}, 1), null)")
+    code = f"regexp_replace(code, {quoted(r'[\w$.]+\s*\(')}, ' ')"
+    in_code = f"regexp_extract_all({code}, {quoted(r'(?<![\w$.])([A-Za-z_$][\w$]*)')}, 1)"
+    return (f"CASE kind WHEN 'name' THEN {name} WHEN 'str' THEN if(lang = '{PHP}', {in_php}, {in_code})"
+            " ELSE null END")
 
 
 def _sources_split(lang: str) -> tuple[list[str], list[str], list[str]]:
@@ -118,7 +121,7 @@ def _neighbours(tokens: DataFrame) -> DataFrame:
     ahead = "named_struct('kind', kind, 'text', left(text, 12), 'piece', left(piece, 12), 'pos', pos, 'line', line)"
     beyond = "named_struct('kind', kind, 'piece', left(piece, 40))"
     rows = tokens.selectExpr(
-        "*",
+        "*", f"{_interpolated()} AS code",
         f"lag({near}) OVER ({_FILE}) AS p", f"lag({far}, 2) OVER ({_FILE}) AS p2",
         f"lag({farther}, 3) OVER ({_FILE}) AS p3",
         f"lead({ahead}) OVER ({_FILE}) AS n", f"lead({beyond}, 2) OVER ({_FILE}) AS n2")
@@ -129,32 +132,27 @@ def _neighbours(tokens: DataFrame) -> DataFrame:
         F.expr("CASE n.kind WHEN 'str' THEN 1 WHEN 'num' THEN 2 ELSE 0 END").alias("n_literal"),
         F.expr("p.pos").alias("p_pos"), F.expr("p2.pos").alias("p2_pos"), F.expr("p2.line").alias("p2_line"),
         F.expr(f"if({_FIRST}, p.text, null)").alias("opened_by"),
-        *_reads())
+        *[F.expr(sql).alias(name) for name, sql in _reads().items()])
 
 
-def _reads() -> list[Column]:
-    lang, kind, text = F.col("lang"), F.col("kind"), F.col("text")
-    has_src = F.col("has_src")
-    is_name = kind == "name"
-    with_paren = F.concat(text, F.when(F.col("n.kind") == "open", F.col("n.piece")).otherwise(""))
-    probe = F.when((lang == PHP) & (F.col("n2.kind") == "str"),
-                   F.concat(with_paren, F.col("n2.piece"))).otherwise(with_paren)
+def _reads() -> dict[str, str]:
+    with_paren = "concat(text, if(n.kind = 'open', n.piece, ''))"
+    probe = f"if(lang = '{PHP}' AND n2.kind = 'str', concat({with_paren}, n2.piece), {with_paren})"
     free, leaf, inner = {}, {}, {}
     for name in STRUCT_LANGS:
         f, a, i = _sources_split(name)
-        free[name], leaf[name] = match_any(probe, f), match_any(text, a)
+        free[name], leaf[name] = matches(probe, f), matches("text", a)
         if name in (PY, JS, PHP):
-            inner[name] = match_any(text if name == PHP else _interpolated(text, lang), i)
-    object_key = (lang == JS) & (F.col("n.text") == ":") & F.col("p.text").isin("{", ",")
-    src = (F.when(is_name, F.when(by_lang(lang, free), 1).when(by_lang(lang, leaf), 2).otherwise(0))
-           .when(kind == "str", F.when(F.coalesce(by_lang(lang, inner), F.lit(False)), 1).otherwise(0))
-           .otherwise(0))
-    sanitizer = by_lang(lang, {name: match_any(with_paren, pats) for name, pats in SANITIZERS.items()})
-    return [
-        F.when(has_src, src).otherwise(0).alias("src"),
-        F.when(has_src & ~F.coalesce(object_key, F.lit(False)), _use_names(text, kind, lang)).alias("names"),
-        F.when(has_src & is_name, sanitizer).otherwise(False).alias("san"),
-    ]
+            inner[name] = matches("text" if name == PHP else "code", i)
+    object_key = f"coalesce(lang = '{JS}' AND n.text = ':' AND p.text IN ('{{', ','), false)"
+    sanitizer = lang_case({name: matches(with_paren, pats) for name, pats in SANITIZERS.items()})
+    return {
+        "src": f"""CASE WHEN NOT has_src THEN 0
+            WHEN kind = 'name' THEN CASE WHEN {lang_case(free)} THEN 1 WHEN {lang_case(leaf)} THEN 2 ELSE 0 END
+            WHEN kind = 'str' THEN if(coalesce({lang_case(inner)}, false), 1, 0) ELSE 0 END""",
+        "names": f"if(has_src AND NOT {object_key}, {_use_names()}, null)",
+        "san": f"if(has_src AND kind = 'name', {sanitizer}, false)",
+    }
 
 
 # ------------------------------------------------------------ chains and calls

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taintlake.functions.patterns import by_lang
+from taintlake.functions.patterns import lang_case, one_of, quoted
 from taintlake.rules.catalog import C, CPP, JAVA, JS, PHP, PY
 
 _BLANKS = r"[ \t\f]*+"
@@ -88,44 +88,41 @@ PHP_OUTPUT = ["echo", "print"]
 PHP_INCLUDE = ["include", "include_once", "require", "require_once"]
 
 
-def pieces(content: Column, lang: Column) -> Column:
-    """Array of consecutive pieces of the text."""
-    return by_lang(lang, {name: F.regexp_extract_all(content, F.lit(regex), F.lit(0)) for name, regex in LEX.items()},
-                   F.array().cast("array<string>"))
-
-
-def kind_of(text: Column, lang: Column) -> Column:
-    """Kind of a token without its blanks, from its first and last characters."""
-    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
-    first2 = F.substring(text, 1, 2)
-    word_end = (last.between("a", "z") | last.between("A", "Z") | last.between("0", "9") | last.isin("_", "$")
-                | (last > "\x7f"))
-    has_quote = last.isin('"', "'", "`")
-    hash_comment = lang.isin(PY, PHP, C, CPP) & (first == "#")
-    low = F.lower(text)
-    keyword = by_lang(lang, {
-        name: (low if name == PHP else text).isin(words) for name, words in KEYWORDS.items()})
-    php = lang == PHP
-    return (
-        F.when(first.isin("\n", "\r"), "nl")
-        .when(first.isin("(", "[", "{") & (F.length(text) == 1), "open")
-        .when(first.isin(")", "]", "}"), "close")
-        .when(text == ";", "sep")
-        .when(text == ",", "comma")
-        .when(hash_comment | ((first2 == "//") & (lang != PY) & (text != "//="))
-              | ((first2 == "/*") & (lang != PY)) | (first == "\\") & last.isin("\n"), "comment")
-        .when(php & (first2 == "<?"), F.when(text == "<?=", "echo").otherwise("sep"))
-        .when(php & ((first2 == "?>") | ((first == "<") & (F.length(text) > 3) & ~text.startswith("<<<"))), "sep")
-        .when(first.isin('"', "'", "`") | (php & text.startswith("<<<")), "str")
-        .when(first.between("0", "9") | ((first == ".") & F.substring(text, 2, 1).between("0", "9")), "num")
-        .when((lang == JS) & (first == "/") & (F.length(text) > 1) & (last != "="), "regex")
-        .when(has_quote, "str")
-        .when((last == "=") & ~text.isin("==", "===", "!=", "!==", "<=", ">="), "assign")
-        .when((first == "<") & (F.length(text) > 1) & (last == ">") & lang.isin(JAVA, CPP), "generic")
-        .when(word_end, F.when(keyword, "kw").when(php & low.isin(PHP_OUTPUT), "echo")
-              .when(php & low.isin(PHP_INCLUDE), "include").otherwise("name"))
-        .otherwise("op")
-    )
+def pieces() -> Column:
+    """Array of consecutive pieces of ``content``, by ``lang``."""
+    return F.expr(lang_case({name: f"regexp_extract_all(content, {quoted(regex)}, 0)" for name, regex in LEX.items()},
+                            "CAST(array() AS ARRAY<STRING>)"))
+
+
+def kind_of() -> Column:
+    """Kind of a token ``text`` without its blanks, from its first and last characters."""
+    keyword = lang_case({name: one_of("lower(text)" if name == PHP else "text", words)
+                         for name, words in KEYWORDS.items()})
+    first, last, first2 = "left(text, 1)", "right(text, 1)", "left(text, 2)"
+    quotes = one_of("{}", ['"', "'", "`"])
+    word_end = f"""({last} BETWEEN 'a' AND 'z' OR {last} BETWEEN 'A' AND 'Z' OR {last} BETWEEN '0' AND '9'
+        OR {last} IN ('_', '$') OR {last} > '\\x7f')"""
+    return F.expr(f"""CASE
+        WHEN {one_of(first, chr(10) + chr(13))} THEN 'nl'
+        WHEN {first} IN ('(', '[', '{{') AND length(text) = 1 THEN 'open'
+        WHEN {first} IN (')', ']', '}}') THEN 'close'
+        WHEN text = ';' THEN 'sep'
+        WHEN text = ',' THEN 'comma'
+        WHEN ({first} = '#' AND lang IN ('{PY}', '{PHP}', '{C}', '{CPP}'))
+             OR ({first2} = '//' AND lang <> '{PY}' AND text <> '//=') OR ({first2} = '/*' AND lang <> '{PY}')
+             OR ({first} = {quoted(chr(92))} AND {last} = {quoted(chr(10))}) THEN 'comment'
+        WHEN lang = '{PHP}' AND {first2} = '<?' THEN if(text = '<?=', 'echo', 'sep')
+        WHEN lang = '{PHP}' AND ({first2} = '?>' OR ({first} = '<' AND length(text) > 3 AND {first2} <> '<<')) THEN 'sep'
+        WHEN {quotes.format(first)} OR (lang = '{PHP}' AND startswith(text, '<<<')) THEN 'str'
+        WHEN {first} BETWEEN '0' AND '9' OR ({first} = '.' AND substring(text, 2, 1) BETWEEN '0' AND '9') THEN 'num'
+        WHEN lang = '{JS}' AND {first} = '/' AND length(text) > 1 AND {last} <> '=' THEN 'regex'
+        WHEN {quotes.format(last)} THEN 'str'
+        WHEN {last} = '=' AND text NOT IN ('==', '===', '!=', '!==', '<=', '>=') THEN 'assign'
+        WHEN {first} = '<' AND length(text) > 1 AND {last} = '>' AND lang IN ('{JAVA}', '{CPP}') THEN 'generic'
+        WHEN {word_end} THEN CASE WHEN {keyword} THEN 'kw'
+            WHEN lang = '{PHP}' AND {one_of("lower(text)", PHP_OUTPUT)} THEN 'echo'
+            WHEN lang = '{PHP}' AND {one_of("lower(text)", PHP_INCLUDE)} THEN 'include' ELSE 'name' END
+        ELSE 'op' END""".replace("'\\x7f'", quoted("")))
 
 
 def lex(units: DataFrame, carry: list[str]) -> DataFrame:
@@ -136,7 +133,7 @@ def lex(units: DataFrame, carry: list[str]) -> DataFrame:
     holds that array and the columns named in ``carry``, so the text travels
     once per file and not once per token.
     """
-    cut = units.withColumn("pieces", pieces(F.col("content"), F.col("lang")))
+    cut = units.withColumn("pieces", pieces())
     head = F.col("pos") == 0
     rows = cut.select("file_id", "lang", "has_src", *carry, "pieces",
                       F.posexplode(F.concat(F.array(F.lit("")), F.col("pieces"))).alias("pos", "piece"))
@@ -145,8 +142,7 @@ def lex(units: DataFrame, carry: list[str]) -> DataFrame:
         "file_id", "lang", "has_src", "pos", "piece", text.alias("text"),
         F.when(head, F.struct(*carry)).alias("unit"),
         F.when(head, F.col("pieces")).alias("pieces"))
-    return rows.withColumn("kind", F.when(F.col("pos") == 0, "bof").otherwise(
-        kind_of(F.col("text"), F.col("lang")))).withColumn(
+    return rows.withColumn("kind", F.when(F.col("pos") == 0, "bof").otherwise(kind_of())).withColumn(
         "newlines", F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
 
 

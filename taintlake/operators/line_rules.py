@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taintlake.functions import text
-from taintlake.functions.patterns import FLAGS, match_any, prefilter
+from taintlake.functions.patterns import FLAGS, match_any, matches, one_of, prefilter
 from taintlake.operators.taint import tainted_names
 from taintlake.rules.catalog import FALLBACK_SOURCES, Rule
 
@@ -30,25 +30,23 @@ def _any(col: Column, rules: list[Rule]) -> Column:
     return cond
 
 
-def _prefilter(col: Column, rules: list[Rule]) -> Column:
-    return prefilter(col, [p for r in rules for p in r.sink_patterns])
+def _prefilter(rules: list[Rule]) -> Column:
+    return prefilter([p for r in rules for p in r.sink_patterns])
 
 
 def line_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Hits of line rules that need no taint, for ``src_files`` with ``lang``.
     A user rule may name languages; an empty list means all files."""
     rules = [r for r in rules if not r.requires_taint]
-    rows = src_files.where(_prefilter(F.col("content"), rules))
+    rows = src_files.where(_prefilter(rules))
     lines = F.filter(F.transform(text.split_lines(F.col("content")),
                                  lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"))),
                      lambda x: _any(x["line"], rules))
     rows = rows.select("path", "lang", F.explode(lines).alias("x")).select("path", "lang", "x.*")
 
-    def cond(r: Rule) -> Column:
-        c = F.lit(False)
-        for p in r.sink_patterns:
-            c = c | F.col("line").rlike(_case(r) + p)
-        return c & F.col("lang").isin(r.languages) if r.languages else c
+    def cond(r: Rule) -> str:
+        c = matches("line", r.sink_patterns, _case(r))
+        return f"{c} AND {one_of('lang', r.languages)}" if r.languages else c
 
     return _explode_hits(rows, rules, cond)
 
@@ -57,8 +55,8 @@ def fallback_taint_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Hits of fallback rules that need taint: the line meets the rule and names
     a variable of the file's tainted set."""
     rules = [r for r in rules if r.requires_taint]
-    rows = src_files.where(prefilter(F.col("content"), FALLBACK_SOURCES)
-                           & _prefilter(F.col("content"), rules))
+    rows = src_files.where(prefilter(FALLBACK_SOURCES)
+                           & _prefilter(rules))
     rows = rows.select("path", "lang", text.split_lines(F.col("content")).alias("lines"))
     rows = rows.select("path", "lang", "lines", tainted_names(F.col("lines")).alias("names")).where(
         F.size("names") > 0)
@@ -67,14 +65,13 @@ def fallback_taint_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
         lambda x: _any(x["line"], rules) & F.arrays_overlap(
             F.regexp_extract_all(x["line"], F.lit(r"(?U)\w+"), F.lit(0)), F.col("names")))
     rows = rows.select("path", "lang", F.explode(touched).alias("x")).select("path", "lang", "x.*")
-    return _explode_hits(rows, rules, lambda r: match_any(F.col("line"), r.sink_patterns))
+    return _explode_hits(rows, rules, lambda r: matches("line", r.sink_patterns))
 
 
 def _explode_hits(rows: DataFrame, rules: list[Rule], cond) -> DataFrame:
-    order = {r.rule_ord: ENGINE_ORDER[r.engine] for r in rules}
-    hit = F.array_compact(F.array(*[
-        F.when(cond(r), F.struct(F.lit(r.rule_ord).alias("rule_ord"), F.lit(order[r.rule_ord]).alias("engine_ord")))
-        for r in rules]))
+    hit = F.expr("array_compact(array(" + ", ".join(
+        f"if({cond(r)}, named_struct('rule_ord', {r.rule_ord}, 'engine_ord', {ENGINE_ORDER[r.engine]}), null)"
+        for r in rules) + "))")
     return (rows.withColumn("h", F.explode(hit))
             .select("path", "lang", F.col("line_no").alias("line"), F.col("h.rule_ord").alias("rule_ord"),
                     (F.col("h.engine_ord").cast("long") * F.lit(1 << 60) + F.col("line_no").cast("long") * 4096

@@ -26,7 +26,7 @@ def rule_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
                 "path", F.lit(0).alias("unit_no"), "lang", F.col("lang").alias("out_lang"),
                 F.lit(0).alias("line_offset"), "content")
             units = code.unionByName(html.html_scripts(pages))
-            units = units.where(detect.worth_parsing(F.col("content"), F.col("lang"), by_call))
+            units = units.where(detect.worth_parsing(by_call))
             found = detect.candidates(facts.file_facts(facts.as_units(units)), by_call)
             hits.append(detect.struct_hits(found, by_call))
         for rule in in_attr:
