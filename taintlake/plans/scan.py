@@ -48,7 +48,9 @@ def rule_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
 def to_findings(hits: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
     """Hits to finding rows.  The catalogue is a handful of constants; the join
     is on its ordinal and Spark broadcasts it by its known size."""
-    catalogue = rules_frame(hits.sparkSession, rules).drop("languages", "sink_patterns", "kind", "engine")
+    catalogue = rules_frame(hits.sparkSession, rules, [
+        "rule_ord", "rule_id", "name", "severity", "score", "cwe", "confidence", "category", "explanation",
+        "recommendation"])
     rows = hits.join(catalogue, "rule_ord").select(
         F.col("path").alias("file_path"), "line", F.col("name").alias("vuln_type"), "severity", "score", "cwe",
         "confidence", "category", "explanation", "recommendation", "lang",

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from taintlake.functions.patterns import quoted
 from taintlake.schemas import RULE
 
 
@@ -370,7 +371,24 @@ RULES: list[Rule] = [
 RULE_KINDS = ["call_taint", "call_always", "missing_flag", "assign_taint", "assign_literal", "lhs_random", "line"]
 
 
-def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
-    """The catalogue as a DataFrame; a few dozen rows from constants."""
-    return spark.createDataFrame([tuple(getattr(r, f) for f in RULE.fieldNames())
-                                  for r in (RULES if rules is None else rules)], RULE)
+def _sql(value) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, list):
+        return "CAST(array(" + ", ".join(map(_sql, value)) + ") AS ARRAY<STRING>)"
+    return quoted(value)
+
+
+def rules_frame(spark: SparkSession, rules: list[Rule] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The catalogue as a DataFrame of constants.  It is a local relation, so
+    Spark knows its size and decides by it whether to broadcast."""
+    fields = [f for f in RULE if columns is None or f.name in columns]
+    rows = ", ".join("(" + ", ".join(_sql(getattr(r, f.name)) for f in fields) + ")"
+                     for r in (RULES if rules is None else rules))
+    names = ", ".join(f.name for f in fields)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})").select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
