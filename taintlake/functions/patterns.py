@@ -70,7 +70,7 @@ def required_words(pattern: str) -> frozenset[str] | None:
 
 
 def _rarity(word: str) -> int:
-    return len(word) + 2 * sum(not c.isalnum() for c in word)
+    return len(word) + 2 * sum(not c.isalnum() for c in word) if len(word) > 1 else 0
 
 
 def _words_of(tree) -> frozenset[str] | None:

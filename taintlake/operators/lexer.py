@@ -95,10 +95,11 @@ def pieces() -> Column:
 
 
 def kind_of() -> Column:
-    """Kind of a token ``text`` without its blanks, from its first and last characters."""
+    """Kind of a token ``text`` without its blanks, from its first characters
+    ``head`` and ``head2`` and its last one ``tail``."""
     keyword = lang_case({name: one_of("lower(text)" if name == PHP else "text", words)
                          for name, words in KEYWORDS.items()})
-    first, last, first2 = "left(text, 1)", "right(text, 1)", "left(text, 2)"
+    first, last, first2 = "head", "tail", "head2"
     quotes = one_of("{}", ['"', "'", "`"])
     word_end = f"""({last} BETWEEN 'a' AND 'z' OR {last} BETWEEN 'A' AND 'Z' OR {last} BETWEEN '0' AND '9'
         OR {last} IN ('_', '$') OR {last} > '\\x7f')"""
@@ -142,7 +143,8 @@ def lex(units: DataFrame, carry: list[str]) -> DataFrame:
         "file_id", "lang", "has_src", "pos", "piece", text.alias("text"),
         F.when(head, F.struct(*carry)).alias("unit"),
         F.when(head, F.col("pieces")).alias("pieces"))
-    return rows.withColumn("kind", F.when(F.col("pos") == 0, "bof").otherwise(kind_of())).withColumn(
-        "newlines", F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
-
-
+    rows = rows.selectExpr("*", "left(text, 1) AS head", "left(text, 2) AS head2", "right(text, 1) AS tail")
+    return rows.select(
+        "file_id", "lang", "has_src", "pos", "piece", "text", "unit", "pieces",
+        F.when(F.col("pos") == 0, "bof").otherwise(kind_of()).alias("kind"),
+        F.expr("if(contains(text, '\\n'), length(text) - length(replace(text, '\\n', '')), 0)").alias("newlines"))
