@@ -229,7 +229,7 @@ _CUSTOM = [
     ("CUSTOM-licence", "Licence Text", "licen[cs]e", "Low", 1.0),
     ("CUSTOM-ipv4", "IPv4 Address", "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}", "Medium", 3.0),
 ]
-_PATTERNS = [(r[0], r[2]) for r in _CUSTOM] + [("CUSTOM-question", "\\?$"), ("CUSTOM-digits", "[0-9]{6,}")]
+_PATTERNS = [(r[0], r[2]) for r in _CUSTOM] + [("CUSTOM-digits", "[0-9]{6,}")]
 
 _ECO = "(['PyPI', 'npm', 'Maven', 'Go', 'Debian'])"
 _DEPS = f"""
@@ -290,7 +290,7 @@ ORACLES: dict[str, str] = {
             'Medium' AS confidence, {_SNIPPET} AS code_snippet
         FROM lines JOIN r ON regexp_matches(line, '(?i)' || pattern)""",
     "pattern_match": f"""WITH r(rule_id, pattern) AS (VALUES {_values(_PATTERNS)})
-        SELECT conv_id, turn, role, rule_id FROM conversations JOIN r ON regexp_matches(text, '(?i)' || pattern)""",
+        SELECT doc_id, rule_id FROM documents JOIN r ON regexp_matches(text, '(?i)' || pattern)""",
     "html_scripts": r"""WITH s AS (SELECT 'page' || page_id || '.html' AS path,
             regexp_extract(html, '(?is)^(.*?<script[^>]*>)', 1) AS head,
             regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script\s*>', 1) AS bodies FROM pages)

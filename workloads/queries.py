@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taintlake.functions import text
 from taintlake.operators import deps, facts, html, line_rules, project, report, taint, views
 from taintlake.plans.scan import raw_findings, scan
-from taintlake.plans.storage import shared_dir
+from taintlake.plans.storage import saved, shared_dir
 from taintlake.rules.catalog import RULES, STRUCT_LANGS
 from taintlake.sources.files import as_source_files, split_blank
 from taintlake.sources.packages import read_dependencies
@@ -85,10 +85,10 @@ def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Dynamic pattern lists over conversation turns."""
-    turns = corpus.table(spark, sf, "conversations")
-    rules = [(i, p) for i, _, p, _, _ in CUSTOM_RULES] + [("CUSTOM-question", r"\?$"), ("CUSTOM-digits", r"[0-9]{6,}")]
-    return line_rules.match_rules(turns, "text", rules).select("conv_id", "turn", "role", "rule_id")
+    """Dynamic pattern lists over whole documents."""
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    rules = [(i, p) for i, _, p, _, _ in CUSTOM_RULES] + [("CUSTOM-digits", r"[0-9]{6,}")]
+    return line_rules.match_rules(docs, "text", rules).select("doc_id", "rule_id")
 
 
 # -------------------------------------------------------------------------- HTML
@@ -141,7 +141,8 @@ def assign_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reaching_defs(spark: SparkSession, sf: str) -> DataFrame:
-    return views.reached_uses(_facts(spark, sf)).select(
+    # Definitions and uses both come from the facts, so these are written once.
+    return views.reached_uses(saved(_facts(spark, sf), "facts")).select(
         "path", "ctx_kind", F.col("line").cast("long").alias("line"), "var",
         F.col("def_line").cast("long").alias("def_line"))
 
