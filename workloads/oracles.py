@@ -231,6 +231,23 @@ _CUSTOM = [
 ]
 _PATTERNS = [(r[0], r[2]) for r in _CUSTOM] + [("CUSTOM-digits", "[0-9]{6,}")]
 
+_PAGE_LINES = _LINES.replace("doc_id", "page_id").replace("'doc'", "'page'").replace("'.txt'", "'.html'").replace(
+    "text,", "html,").replace("FROM documents", "FROM pages")
+# Line rules that hold for every file, and calls a page's script would be reported for.
+_EVERYWHERE = [
+    ("CONFIGSCAN-Disabled_TLS/Certificate_Verification", "Disabled TLS/Certificate Verification",
+     "(?i)verify\\s*=\\s*False|rejectUnauthorized\\s*:\\s*false|InsecureSkipVerify\\s*[:=]\\s*true", "High", 8.0,
+     "CWE-295", "Medium", "Config"),
+    ("CONFIGSCAN-Debug_Mode_Enabled", "Debug Mode Enabled",
+     "(?i)^\\s*DEBUG\\s*=\\s*True\\b|display_errors\\s*=\\s*1\\b|app\\.debug\\s*=\\s*true", "Medium", 6.1, "CWE-489",
+     "Medium", "Config"),
+    ("SECRETSCAN-AWS_Access_Key", "AWS Access Key", "\\b(?:AK" + "IA|AS" + "IA)[0-9A-Z]{16}\\b", "Critical", 9.1,
+     "CWE-798", "High", "Secrets"),
+    ("SECRETSCAN-Private_Key_Block", "Private Key Block", "-----BEGIN (?:[A-Z]+ )*PRIVATE" + " KEY-----", "Critical",
+     9.1, "CWE-798", "High", "Secrets"),
+]
+_IN_SCRIPT = "(?i)<script[^>]*>[^<]*(eval\\(|document\\.write|md5\\(|sha1\\(|console\\.log)"
+
 _ECO = "(['PyPI', 'npm', 'Maven', 'Go', 'Debian'])"
 _DEPS = f"""
     deps AS (
@@ -312,6 +329,14 @@ ORACLES: dict[str, str] = {
                || CASE WHEN part LIKE '%''%' THEN '' ELSE coalesce(regexp_extract(part, '=\s*(\S+)$', 1), '') END END
             AS value
         FROM v WHERE regexp_matches(part, '^[^\s=>"''/<]')""",
+    "page_findings": f"""WITH {_PAGE_LINES}, r(rule_id, vuln_type, pattern, severity, score, cwe, confidence,
+            category) AS (VALUES {_values(_EVERYWHERE)})
+        SELECT path AS file_path, line_no::BIGINT AS line, rule_id, vuln_type, severity, score::DOUBLE AS score, cwe,
+            confidence, category, 'html' AS lang, {_SNIPPET} AS code_snippet
+        FROM lines JOIN r ON regexp_matches(line, pattern)
+        UNION ALL
+        SELECT 'page' || page_id || '.html', 0, 'script', 'script', '', 0, '', '', '', 'html', html
+        FROM pages WHERE regexp_matches(html, {_sql(_IN_SCRIPT)}) OR regexp_matches(html, '(?i)<[^>]+javascript:')""",
     "html_findings": _findings(lambda r: r[0] == 10),
     "token_lines": _per_template("tid, line, n", TOKENS, "line::BIGINT AS line, n::BIGINT AS n_tokens"),
     "call_facts": _per_template("tid, line, callee, args", CALLS,
