@@ -10,7 +10,7 @@ from taintlake.functions import text
 from taintlake.operators import deps, facts, html, line_rules, project, report, taint, views
 from taintlake.plans.scan import raw_findings, scan
 from taintlake.plans.storage import saved, shared_dir
-from taintlake.rules.catalog import RULES, STRUCT_LANGS
+from taintlake.rules.catalog import STRUCT_LANGS
 from taintlake.sources.files import as_source_files, split_blank
 from taintlake.sources.packages import read_dependencies
 from taintlake.streaming.scan_stream import scan_batches
