@@ -36,7 +36,7 @@ from taintlake.llm.words import Words, mix
 
 WINDOW = 13
 ANCHOR = 5
-BLOCK_ROWS = 128
+BLOCK_ROWS = 256
 BUCKET_BYTES = 10_000_000
 _MESSAGE = "kind int, bucket long, block long, base int, data binary"
 
@@ -199,7 +199,7 @@ def dedup_substrings(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     starts = range_starts(rows, "doc_id", BLOCK_ROWS)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     # Rows without an id are spread over blocks of their own.
     block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(len(starts) + 1))).otherwise(range_of(F.col("doc_id"), starts))
     placed = rows.withColumn("block", block.cast("long"))
