@@ -1,5 +1,27 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from taintlake.llm.fingerprint import WORDS
+
+_BITS = ", ".join(f"list_aggregate(list_transform(a, lambda h: ((h >> {j}) & 1099512676353)::HUGEINT), 'sum')" for j in range(WORDS))
+_LANES = f"""list_transform([len(m)::HUGEINT, list_aggregate(list_transform(b, lambda h: (h & 1073741823)::HUGEINT), 'sum'),
+  list_aggregate(list_transform(b, lambda h: (h >> 30)::HUGEINT), 'sum'), {_BITS}], lambda x, i: (coalesce(x, 0) % (CASE WHEN i <= 3 THEN 4294967296 ELSE 1152921504606846976 END))::BIGINT)"""
+_SIGNED = "flatten(list_transform(v[4:23], lambda w: [2 * (w & 1048575) - v[1], 2 * ((w >> 20) & 1048575) - v[1], 2 * ((w >> 40) & 1048575) - v[1]]))"
+
+
+def _likeness(v: str, w: str) -> str:
+    a, b = _SIGNED.replace("v[", f"{v}["), _SIGNED.replace("v[", f"{w}[")
+
+    def dot(x: str, y: str) -> str:
+        return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1] * z[2]))"
+
+    norm = f"({dot(a, a)} + {dot(b, b)})"
+    return f"CASE WHEN {v} = {w} THEN 1.0 WHEN {norm} = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (2 * {dot(a, b)})::DOUBLE / {norm}::DOUBLE)) END::DOUBLE"
+
+
+def _shown(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x, i: lpad(lower(to_hex(x)), CASE WHEN i <= 3 THEN 8 ELSE 15 END, '0')), '')"
+
+
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -13,4 +35,16 @@ per AS (SELECT doc_id, list(i) AS g, count(*) AS n_removed FROM gone GROUP BY do
 SELECT doc_id, n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(array_to_string(CASE WHEN n_removed > 0 THEN list_filter(w, lambda x, k: NOT list_contains(g, k)) ELSE w END, ' ')) AS kept_sha256
 FROM n LEFT JOIN per USING (doc_id)""",
+    "op9_fingerprints": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt FROM t),
+e AS (SELECT *, left(text, n - n // 4) || left(nxt, n // 4) AS edited FROM o),
+x AS (SELECT doc_id, unnest([text, edited, nxt]) AS s, unnest([0, 1, 2]) AS k FROM e),
+m AS (SELECT doc_id, k, list_transform(list_filter(regexp_split_to_array(s, '[\\n\\r.!?]+'), lambda p: p <> ''), lambda p: md5(p)) AS m FROM x),
+h AS (SELECT doc_id, k, m, list_transform(m, lambda d: ('0x' || d[1:15])::BIGINT) AS a, list_transform(m, lambda d: ('0x' || d[16:30])::BIGINT) AS b FROM m),
+l AS (SELECT doc_id, k, {_LANES} AS v FROM h),
+w AS (SELECT a.doc_id, a.v AS v, b.v AS ve, c.v AS vn FROM l a JOIN l b ON a.doc_id = b.doc_id JOIN l c ON a.doc_id = c.doc_id WHERE a.k = 0 AND b.k = 1 AND c.k = 2)
+SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_shown('v')} AS fingerprint, {_shown('ve')} AS edited_fingerprint,
+       {_likeness('v', 've')} AS near_edited, {_likeness('v', 'vn')} AS near_next
+FROM e JOIN w USING (doc_id)""",
 }
