@@ -4,32 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taintlake.llm.fingerprint import fingerprints
-from taintlake.llm.rlz import dedup_substrings
-from taintlake.llm.simhash import near_duplicates
+from taintlake.llm import fingerprint, hnsw, langid, packing, rlz, sharding, simhash, suffixes, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("lang_held_out").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(_table(spark, sf_dir, "documents"))
+    out = rlz.dedup_substrings(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(_table(spark, sf_dir, "documents"))
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash,
-    "op9_fingerprints": op9_fingerprints,
-    "op7_substring_dedup": op7_substring_dedup,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_suffix_array, op2_embedding_dedup, op3_simhash, op4_language_id, op5_packing, op6_sharding, op7_substring_dedup, op8_unigram,
+    op9_fingerprints, op10_warc)}

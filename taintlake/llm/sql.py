@@ -22,7 +22,20 @@ def _shown(v: str) -> str:
     return f"array_to_string(list_transform({v}, lambda x, i: lpad(lower(to_hex(x)), CASE WHEN i <= 3 THEN 8 ELSE 15 END, '0')), '')"
 
 
+_BASE32 = " || ".join(f"translate(to_base(('0x' || sha1(p)[{1 + 10 * i}:{10 + 10 * i}])::BIGINT, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(4))
+
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op10_warc": f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages), h AS (SELECT p, max(page_id) AS head FROM t GROUP BY p)
+SELECT page_id, strlen(p) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM t JOIN h USING (p)""",
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 n AS (SELECT doc_id, w, len(w) AS n_words FROM d),
