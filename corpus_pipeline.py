@@ -18,9 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts that no learnt language has the larger part of, go."""
+    """Texts of no language, which are null or have no letter, go."""
     found = langid.identify(docs.select(COLUMNS))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") > 0.5)).select(COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
