@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ SEQUENCE = 1024
 GROUP_ROWS = 2_000
 CACHE_WORDS = 400_000
 _SPECIAL = "<|endoftext|>"
+_PART, _LATIN = re.compile(r"(?= \S)"), re.compile("[\x00-\u024f]*")
 
 
 class Tournament:
@@ -46,34 +48,57 @@ class Tournament:
         return spot, self.capacity - left
 
 
+def _byte_letters() -> dict[str, int]:
+    """The printable stand-in of each byte in a byte-level vocabulary, by its rule:
+    printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts, remembered by word.
 
     Byte-level pre-tokenisation never joins a space that a non-space follows to what
     is before it, so a text may be cut there and each part encoded alone.  Parts are
-    kept per worker up to a fixed number; texts with the special string go whole."""
+    kept per worker up to a fixed number.  A new part of Latin letters is merged by the
+    faster library from the same vocabulary file, whose order of ids is that of its
+    merges; other parts, and texts with the special string, go to `tokenizers`."""
 
     def __init__(self, path: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token != _SPECIAL}
+        self.fast = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(parts, add_special_tokens=False)]
+    def _encode(self, part: str) -> bytes:
+        ids = self.fast(part) if _LATIN.fullmatch(part) else self.model.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if _SPECIAL in text:
-            return self._encode([text])[0]
-        parts = re.split(r"(?= \S)", text)
-        new = [p for p in set(parts) if p not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set(parts))
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = _PART.split(text)
+        known = self.known
+        new = [p for p in parts if p not in known]
         if new:
-            self.known.update(zip(new, self._encode(new), strict=True))
-        return b"".join([self.known[p] for p in parts])
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+                new = parts
+            for p in new:
+                if p not in known:
+                    known[p] = self._encode(p)
+        return b"".join([known[p] for p in parts])
 
 
 _ENCODERS: dict[str, Encoder] = {}
