@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CACHE_WORDS = 400_000
 UNKNOWN_PENALTY = 10.0
+_LITERAL = "\0literal"
 _WORD = re.compile(rf"{MARK}*[^{MARK}]*")
 
 
@@ -98,7 +99,7 @@ class Unigram:
         self.unknown = min([self.score[i] for i in plain], default=0.0) - UNKNOWN_PENALTY
         self.known: dict[str, bytes] = {}
 
-    def split(self, word: str, literal_marks: bool = False) -> list[int]:
+    def split(self, word: str) -> list[int]:
         """Ids of the best split; of equal ones, that whose last pieces are longest."""
         data = word.encode()
         n = len(data)
@@ -125,25 +126,87 @@ class Unigram:
             out[:0] = ids
         return out
 
+    def split_all(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many words: the steps of `split` for all of them at once.  Words
+        of over 32 bytes, or with a character that no piece covers, go one by one."""
+        data = [w.encode() for w in words]
+        length = np.array([len(d) for d in data])
+        out: list[bytes | None] = [None] * len(words)
+        rows = np.flatnonzero((length <= 32) & (length > 0))
+        n = length[rows]
+        width = int(n.max(initial=0))
+        text = np.frombuffer(b"".join([data[i].ljust(width + 1, b"\xff") for i in rows]), np.uint8).reshape(len(rows), width + 1).astype(np.int32)
+        base, check, score = self._arrays()
+        best = np.full((len(rows), width + 1), -np.inf)
+        best[:, 0] = 0.0
+        back, piece = np.zeros((len(rows), width + 1), np.int32), np.zeros((len(rows), width + 1), np.int32)
+        covered = np.ones(len(rows), bool)
+        size = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+        for i in range(width):
+            live = np.flatnonzero(np.isfinite(best[:, i]) & (i < n))
+            state, alone, all_live = np.zeros(len(live), np.int64), np.zeros(len(best), bool), live
+            for j in range(i, width):
+                child = base[state] + text[live, j] + 1
+                go = (check[child] == state) & (j < n[live])
+                live, state = live[go], child[go]
+                if not len(live):
+                    break
+                leaf = base[state]
+                ends = (check[leaf] == state) & (base[leaf] < 0)
+                who, value = live[ends], -1 - base[leaf[ends]]
+                alone[who] |= size[who, i] == j + 1 - i
+                total = best[who, i] + score[value]
+                more = total > best[who, j + 1]
+                who, value = who[more], value[more]
+                best[who, j + 1], back[who, j + 1], piece[who, j + 1] = total[more], i, value
+            covered[all_live] &= alone[all_live]
+        # Walk back, all words a piece at a time; column k holds the k-th piece from the end.
+        at, columns = np.where(covered, n, 0), []
+        while (at > 0).any():
+            row = np.arange(len(at))
+            columns.append(np.where(at > 0, piece[row, at], -1))
+            at = np.where(at > 0, back[row, at], 0)
+        if columns:
+            ids = np.stack(columns[::-1], axis=1)
+            flat = ids[ids >= 0].astype("<u4").tobytes()
+            stop = np.cumsum((ids >= 0).sum(axis=1)) * 4
+            for i, ok, s, e in zip(rows.tolist(), covered.tolist(), (stop - (ids >= 0).sum(axis=1) * 4).tolist(), stop.tolist(), strict=True):
+                if ok:
+                    out[i] = flat[s:e]
+        return [np.array(self.split(w), "<u4").tobytes() if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not hasattr(self, "_packed"):
+            pad = [-1] * 512
+            self._packed = (np.array(self.trie.base + [0] * 512), np.array(self.trie.check + pad), np.array(self.score))
+        return self._packed
+
+    def learn(self, texts: list[str]) -> None:
+        """Solve the new words of some texts together."""
+        new = {w for t in texts for w in self._cut(t)} - self.known.keys()
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            new = {w for t in texts for w in self._cut(t)}
+        ordered = list(new)
+        for i in range(0, len(ordered), 20_000):
+            self.known.update(zip(ordered[i:i + 20_000], self.split_all(ordered[i:i + 20_000]), strict=True))
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids.  A marker in the text itself becomes its bytes, so
         that decoding returns it."""
-        if MARK in text:
-            own = np.array([self.bytes_at + b for b in MARK.encode()], "<u4").tobytes()
-            head, *rest = text.split(MARK)
-            return self.encode(head) + b"".join(own + self._words(r.replace(" ", MARK)) for r in rest)
-        return self._words(MARK + text.replace(" ", MARK))
-
-    def _words(self, marked: str) -> bytes:
-        words = _WORD.findall(marked)
-        new = {w for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set(words)
-        for w in new:
-            self.known[w] = np.array(self.split(w), "<u4").tobytes()
+        words = self._cut(text)
+        if any(w not in self.known for w in words):
+            self.learn([text])
         return b"".join([self.known[w] for w in words])
 
+    def _cut(self, text: str) -> list[str]:
+        if MARK not in text:
+            return _WORD.findall(MARK + text.replace(" ", MARK))
+        # A literal marker is its own word, known as three byte pieces.
+        self.known[_LITERAL] = np.array([self.bytes_at + b for b in MARK.encode()], "<u4").tobytes()
+        head, *rest = text.split(MARK)
+        return _WORD.findall(MARK + head.replace(" ", MARK)) + [w for r in rest for w in (_LITERAL, *_WORD.findall(r.replace(" ", MARK)))]
+
     def decode(self, ids: bytes) -> str:
         """Text of ids: byte pieces form characters, markers are spaces, and the first
         one is dropped."""
@@ -182,8 +245,10 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
         unigram = load(model)
         low, high = unigram.bytes_at, unigram.bytes_at + 256
         for batch in batches:
-            rows = []
-            for text in batch["text"].to_pylist():
+            rows, texts = [], batch["text"].to_pylist()
+            for i, text in enumerate(texts):
+                if i % 200 == 0:
+                    unigram.learn([t for t in texts[i:i + 200] if t is not None])
                 if text is None:
                     rows.append((None,) * 5)
                     continue
