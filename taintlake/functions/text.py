@@ -40,3 +40,9 @@ def extension(file_name: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0)
+
+
+def place(engine: Column, unit: Column, index: Column, rule: Column) -> Column:
+    """Order of a finding in its file, as ``seq``."""
+    return F.struct(engine.cast("int").alias("engine"), unit.cast("long").alias("unit"), index.cast("long").alias("index"),
+                    rule.cast("int").alias("rule")).alias("seq")

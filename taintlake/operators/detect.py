@@ -241,6 +241,5 @@ def struct_hits(cands: DataFrame, rules: list[Rule]) -> DataFrame:
         f"if({rule_condition(r)}, {r.rule_ord}, null)" for r in rules) + "))")
     return (cands.withColumn("rule_ord", F.explode(hit))
             .select("path", F.col("out_lang").alias("lang"), "line", "rule_ord",
-                    (F.col("unit_no").cast("long") * F.lit(1 << 44) + F.col("idx").cast("long") * 4096
-                     + F.col("rule_ord")).alias("seq"),
+                    text.place(F.lit(0), F.col("unit_no"), F.col("idx"), F.col("rule_ord")),
                     text.snippet(F.col("text")).alias("snippet")))

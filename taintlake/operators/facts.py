@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taintlake.functions.patterns import lang_case, matches, may_match, quoted, widen
-from taintlake.operators.lexer import lex
+from taintlake.operators.lexer import lex, nested
 from taintlake.rules.catalog import C, CPP, JAVA, JS, PHP, PY, SANITIZERS, STRUCT_LANGS, TAINT_SOURCES
 
 CARRY = ["path", "unit_no", "out_lang", "line_offset"]
@@ -59,9 +59,12 @@ def _one_per_file(units: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- token table
-def located_tokens(units: DataFrame) -> DataFrame:
-    """Tokens with line and bracket level, comments and line ends dropped."""
-    files = _one_per_file(units).withColumn("has_src", F.expr(may_have_source()))
+def located_tokens(units: DataFrame, all_uses: bool = True) -> DataFrame:
+    """Tokens with line and bracket level, comments and line ends dropped.
+
+    ``has_src`` says whose uses and sources are wanted: all files', or only those
+    that may hold a source."""
+    files = _one_per_file(units).withColumn("has_src", F.lit(True) if all_uses else F.expr(may_have_source()))
     rows = lex(files, CARRY)
     step = "CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END"
     return rows.selectExpr(
@@ -74,7 +77,7 @@ def located_tokens(units: DataFrame) -> DataFrame:
 def _interpolated() -> str:
     """Code inside a string literal, with sanitized parts removed."""
     f_string = quoted(r"(?<!\{)\{([^{}]+)\}")
-    template = quoted(r"\$\{((?:[^{}]|\{[^{}]*+\})*+)\}")
+    template = quoted(rf"\$\{{({nested('{', '}')})\}}")
     sql = lang_case({
         PY: f"if(lower(regexp_extract(text, '^[A-Za-z]*', 0)) LIKE '%f%',"
             f" array_join(regexp_extract_all(text, {f_string}, 1), ' '), null)",
@@ -114,12 +117,13 @@ def _sources_split(lang: str) -> tuple[list[str], list[str], list[str]]:
 def _neighbours(tokens: DataFrame) -> DataFrame:
     """Per token: what it reads, and all flags that depend on the tokens next to
     it.  Texts end here; the windows that follow move narrow rows only."""
-    # Neighbours are compared with short words only.
-    near = "named_struct('kind', kind, 'text', left(text, 12), 'pos', pos, 'end_line', line + newlines)"
-    far = "named_struct('kind', kind, 'text', left(text, 12), 'pos', pos, 'line', line)"
-    farther = "named_struct('kind', kind, 'text', left(text, 12), 'end_line', line + newlines)"
-    ahead = "named_struct('kind', kind, 'text', left(text, 12), 'piece', left(piece, 12), 'pos', pos, 'line', line)"
-    beyond = "named_struct('kind', kind, 'piece', left(piece, 40))"
+    # Tokens behind are compared with short words only, so a long text need not travel.
+    short = "if(length(text) <= 12, text, '')"
+    near = f"named_struct('kind', kind, 'text', {short}, 'pos', pos, 'end_line', line + newlines)"
+    far = f"named_struct('kind', kind, 'text', {short}, 'pos', pos, 'line', line)"
+    farther = f"named_struct('kind', kind, 'text', {short}, 'end_line', line + newlines)"
+    ahead = "named_struct('kind', kind, 'text', text, 'pos', pos, 'line', line)"
+    beyond = f"named_struct('kind', kind, 'text', if(kind = 'str' AND lang = '{PHP}', text, null))"
     rows = tokens.selectExpr(
         "*", f"{_interpolated()} AS code",
         f"lag({near}) OVER ({_FILE}) AS p", f"lag({far}, 2) OVER ({_FILE}) AS p2",
@@ -136,8 +140,8 @@ def _neighbours(tokens: DataFrame) -> DataFrame:
 
 
 def _reads() -> dict[str, str]:
-    with_paren = "concat(text, if(n.kind = 'open', n.piece, ''))"
-    probe = f"if(lang = '{PHP}' AND n2.kind = 'str', concat({with_paren}, n2.piece), {with_paren})"
+    with_paren = "concat(text, if(n.kind = 'open', n.text, ''))"
+    probe = f"if(lang = '{PHP}' AND n2.kind = 'str', concat({with_paren}, n2.text), {with_paren})"
     free, leaf, inner = {}, {}, {}
     for name in STRUCT_LANGS:
         f, a, i = _sources_split(name)
@@ -157,7 +161,8 @@ def _reads() -> dict[str, str]:
 
 # ------------------------------------------------------------ chains and calls
 _CONNECTED = r"^(?:\\.|->|::|\\?\\.|\\?->)"
-_FIRST = "p.kind IN ('open', 'bof')"
+# A bracket closed right after it opened lies on the outer level and opens nothing.
+_FIRST = "(p.kind IN ('open', 'bof') AND kind <> 'close')"
 
 
 def _flags() -> dict[str, str]:
@@ -298,9 +303,10 @@ def _definition() -> str:
             'uses_lo', uses_so_far, 'uses_hi', e.uses, 'cover', cover, 'clean', clean), null)"""
 
 
-def file_facts(units: DataFrame) -> DataFrame:
-    """One row per file: pieces and position-ordered arrays of facts."""
-    rows = _depths(_chains(_neighbours(located_tokens(units))))
+def file_facts(units: DataFrame, all_uses: bool = True) -> DataFrame:
+    """One row per file: pieces and position-ordered arrays of facts.  A scan needs
+    no uses in files without a taint source, and says so by ``all_uses``."""
+    rows = _depths(_chains(_neighbours(located_tokens(units, all_uses))))
     call = """if(call, named_struct('start', c.pos, 'open', pos, 'close', m.pos, 'line', c.line,
         'uses_lo', uses_so_far, 'uses_hi', m.uses, 'cover', cover, 'clean', clean), null)"""
     stmt = """if(kind IN ('echo', 'include'), named_struct('start', pos, 'kind', kind, 'end', es.pos, 'line', line,

@@ -83,5 +83,5 @@ def uri_hits(src_files: DataFrame, rule) -> DataFrame:
     rows = src_files.where(F.col("content").rlike("(?i)javascript:"))
     return (html_attrs(rows).where(F.col("text").rlike("(?i)javascript:"))
             .select("path", F.lit("html").alias("lang"), "line", F.lit(rule.rule_ord).alias("rule_ord"),
-                    (F.col("pos").cast("long") * 4096 + rule.rule_ord).alias("seq"),
+                    text.place(F.lit(0), F.lit(0), F.col("pos"), F.lit(rule.rule_ord)),
                     text.snippet(F.col("text")).alias("snippet")))

@@ -34,6 +34,20 @@ _GENERIC = r"<[\w\s,.?<>\[\]]*>(?=\s*\()"
 _CONTINUED = r"\\\r?\n"
 
 
+NESTING = 6
+
+
+def nested(left: str, right: str, whole: str = "", stop: str = "") -> str:
+    """What a pair of brackets may hold: brackets nest up to NESTING levels, as the
+    dialect has no recursion.  ``whole`` is an alternative, ``stop`` must be in one."""
+    a, b = f"\\{left}", f"\\{right}"
+    plain = f"[^{a}{b}{stop}]" + (f"|{whole}" if whole else "")
+    inner = f"(?:{plain})*+"
+    for _ in range(NESTING):
+        inner = f"(?:{plain}|{a}{inner}{b})*+"
+    return inner
+
+
 def _name(connector: str, word: str = _WORD, new: bool = False) -> str:
     lead = r"(?:new\s++)?" if new else ""
     return rf"(?:(?:{connector})\s*+)?{lead}{word}(?:\s*+(?:{connector})\s*+{word})*+"
@@ -41,16 +55,17 @@ def _name(connector: str, word: str = _WORD, new: bool = False) -> str:
 
 _PHP_WORD = r"\$*+[A-Za-z_\x{80}-\x{10FFFF}][\w\x{80}-\x{10FFFF}]*+"
 _PHP_NAME = _name(r"\?->|->|::", rf"(?:\\?(?:\w++\\)*+{_PHP_WORD})", new=True)
-_JS_TEMPLATE = (r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{)|\$\{(?:[^`{}]|`[^`]*+`|\{[^{}]*+\})*+\})*+`"
+_JS_TEMPLATE = (rf"`(?:[^`\\$]|\\(?s:.)|\$(?!\{{)|\$\{{{nested('{', '}', '`[^`]*+`', '`')}\}})*+`"
                 r"|`(?:[^`\\]|\\(?s:.))*+`?")
-_JS_REGEX = (r"(?<=[=(,:\[!&|?{};+\n][ \t]{0,4}|\breturn[ \t]{1,4})"
+# Matches start where the last one ended, so what is before the blanks decides.
+_JS_REGEX = (rf"(?<=[=(,:\[!&|?{{}};+\n]|\breturn){_BLANKS}"
              r"/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*+\])++/[a-z]*+")
 _PY_TRIPLE = r'"""(?s:.*?)(?:"""|\z)' + r"|'''(?s:.*?)(?:'''|\z)"
 
 _ALTERNATIVES = {
     PY: [_NL, _CONTINUED, r"#[^\r\n]*+", rf"(?i:[rbuf]{{1,2}})?(?:{_PY_TRIPLE}|{_DQ}|{_SQ})", _NUMBER, r"\.{3}",
          _name(r"\."), _ASSIGN, _COMPARE, _OPERATOR],
-    JS: [_NL, _LINE_COMMENT, _BLOCK_COMMENT, _JS_TEMPLATE, _DQ, _SQ, _JS_REGEX, _NUMBER, r"\.{3}",
+    JS: [_NL, _LINE_COMMENT, _BLOCK_COMMENT, _JS_TEMPLATE, _DQ, _SQ, _NUMBER, r"\.{3}",
          _name(r"\?\.|\.", new=True), _ASSIGN, _COMPARE, _OPERATOR],
     PHP: [_NL, r"\A(?!<\?(?:php|=))(?s:.+?)(?=<\?(?:php|=))", r"\?>(?s:.*?)(?:(?=<\?(?:php|=))|\z)",
           r"<\?php\b", r"<\?=", r"#(?!\[)[^\r\n]*+", _LINE_COMMENT, _BLOCK_COMMENT,
@@ -65,20 +80,22 @@ _ALTERNATIVES = {
           r"\.{3}", _name(r"\.|->|::", new=True), _GENERIC, _ASSIGN, _COMPARE, _OPERATOR],
 }
 LEX = {lang: f"{_BLANKS}(?:{'|'.join(alts)})" for lang, alts in _ALTERNATIVES.items()}
+LEX[JS] = f"{_JS_REGEX}|{LEX[JS]}"
 
-# ---- fixed values: words that are neither callees nor variables ---------------
+# ---- fixed values: words that are neither callees nor variables; those that are
+# ---- keywords only in some places (match, of, get, set, async) are names -------
 _COMMON = "if else for while do switch case default return break continue try catch finally throw class new".split()
 KEYWORDS = {
     PY: ("if elif else for while return yield try except finally raise with as def class lambda and or not in is "
-         "import from pass del global nonlocal assert async await match True False None").split(),
-    JS: _COMMON + ("function var let const async await typeof instanceof in of delete void yield extends import "
-                   "export static get set true false null undefined").split(),
+         "import from pass del global nonlocal assert async await True False None").split(),
+    JS: _COMMON + ("function var let const await typeof instanceof in delete void yield extends import "
+                   "export static true false null undefined").split(),
     PHP: _COMMON + ("function fn elseif foreach endif endforeach endwhile as and or xor instanceof global static "
                     "public private protected abstract final const use namespace extends implements match "
                     "true false null").split(),
     JAVA: _COMMON + ("instanceof extends implements throws import package static final public private protected "
                      "abstract synchronized native assert true false null").split(),
-    C: _COMMON[:-1] + ("goto sizeof typedef static extern const volatile struct enum union inline register "
+    C: _COMMON[:_COMMON.index("try")] + ("goto sizeof typedef static extern const volatile struct enum union inline register "
                        "NULL").split(),
     CPP: _COMMON + ("goto sizeof typedef static extern const volatile struct enum union inline register namespace "
                     "using template typename operator delete virtual public private protected constexpr true false "

@@ -74,8 +74,7 @@ def _explode_hits(rows: DataFrame, rules: list[Rule], cond) -> DataFrame:
         for r in rules) + "))")
     return (rows.withColumn("h", F.explode(hit))
             .select("path", "lang", F.col("line_no").alias("line"), F.col("h.rule_ord").alias("rule_ord"),
-                    (F.col("h.engine_ord").cast("long") * F.lit(1 << 60) + F.col("line_no").cast("long") * 4096
-                     + F.col("h.rule_ord")).alias("seq"),
+                    text.place(F.col("h.engine_ord"), F.lit(0), F.col("line_no"), F.col("h.rule_ord")),
                     text.snippet(F.col("line")).alias("snippet")))
 
 

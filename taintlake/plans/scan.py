@@ -27,7 +27,7 @@ def rule_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
                 F.lit(0).alias("line_offset"), "content")
             units = code.unionByName(html.html_scripts(pages))
             units = units.where(detect.worth_parsing(by_call))
-            found = detect.candidates(facts.file_facts(facts.as_units(units)), by_call)
+            found = detect.candidates(facts.file_facts(facts.as_units(units), all_uses=False), by_call)
             hits.append(detect.struct_hits(found, by_call))
         for rule in in_attr:
             hits.append(html.uri_hits(pages, rule))
