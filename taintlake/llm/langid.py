@@ -110,7 +110,8 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     The model learns from text and lang of rows that are not held out; prediction reads
     the text alone.  lang_score is the proportion of the predicted language.  A text
     that is null, empty or without a letter, and any text if nothing could be learnt, is
-    `und` with score 0.  A row without doc_id is neither held out nor learnt from."""
+    `und` with score 0.  A row without doc_id is neither held out nor learnt from.
+    Columns of `docs` with the names of the new ones are replaced."""
     known = docs.where(docs["text"].isNotNull() & docs["lang"].isNotNull() & ~held_out(docs)).select(
         docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     langs, model = learn(known, rows)
@@ -130,5 +131,7 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
                 out.append((UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.select("*", predict(docs["text"].cast("string")).alias("lang_found"), F.coalesce(held_out(docs), F.lit(False)).alias("lang_held_out")).select(
-        *[docs[c] for c in docs.columns], F.col("lang_found.lang").alias("lang_pred"), F.col("lang_found.score").alias("lang_score"), "lang_held_out")
+    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_held_out")]
+    found = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), predict(docs["text"].cast("string")).alias("found"),
+                        F.coalesce(held_out(docs), F.lit(False)).alias("lang_held_out"))
+    return found.select(*[F.col("row")[c].alias(c) for c in own], F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("lang_score"), "lang_held_out")

@@ -101,7 +101,8 @@ def link_fingerprints(prints: DataFrame, name: str, radius: int = 4, tile_rows:
 
     def compare(table: pa.Table) -> pa.Table:
         sides = {s: np.frombuffer(d, np.uint64) for s, d in zip(table["side"].to_pylist(), table["data"].to_pylist(), strict=True)}
-        a, b = _stars(sides[0], sides.get(1), radius)
+        none = np.zeros(0, np.uint64)  # hashing may leave a tile empty
+        a, b = _stars(sides.get(0, none), sides.get(1), radius)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     pairs = dealt.select("ones", "tile", "fp").groupBy("ones", "tile").applyInArrow(pack, _PAIR)

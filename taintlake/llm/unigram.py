@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,7 +270,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text of (doc_id, ids)."""
 
     @F.pandas_udf("string")
-    def text(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def text(ids: pd.Series) -> pd.Series:
         unigram = load(model)
         return ids.map(lambda x: None if x is None else unigram.decode(bytes(x)))
 
