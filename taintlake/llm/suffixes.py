@@ -79,24 +79,29 @@ def _edge_batch(*cols) -> pa.RecordBatch:
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Maximal runs of equal words on a diagonal that hold a matched suffix."""
+    """Maximal runs of equal words on the diagonals of a pair that hold a matched suffix."""
     for batch in batches:
         out: list[tuple] = []
         for lo in range(0, len(batch), 200):
             part = batch.slice(lo, 200)
             a, b = Words(part["text"]), Words(part["ref_text"])
-            for i, (doc, ref, diagonal, places) in enumerate(zip(part["doc_id"].to_pylist(), part["ref_id"].to_pylist(), part["diagonal"].to_pylist(), part["places"].to_pylist(), strict=True)):
+            for i, (doc, ref, places) in enumerate(zip(part["doc_id"].to_pylist(), part["ref_id"].to_pylist(), part["places"].to_pylist(), strict=True)):
                 x, y = a.word[a.first[i]:a.first[i + 1]], b.word[b.first[i]:b.first[i + 1]]
-                start = max(0, diagonal)  # position in the document minus that in the other
-                n = max(0, min(len(x) - start, len(y) - (start - diagonal)))
-                same = np.zeros(n + 2, np.int8)
-                same[1:-1] = x[start:start + n] == y[start - diagonal:start - diagonal + n]
-                turn = np.diff(same)
-                first, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-                run = np.unique(np.searchsorted(first, np.array(places) - start, side="right") - 1)
-                for r in run[run >= 0]:
-                    if stop[r] - first[r] >= MIN_WORDS:
-                        out.append((doc, int(start + first[r]), int(stop[r] - first[r]), ref, int(start + first[r] - diagonal)))
+                # diagonal: position in the document minus that in the other
+                lines: dict[int, list[int]] = {}
+                for place in places:
+                    lines.setdefault(place["diagonal"], []).append(place["pos"])
+                for diagonal, at in lines.items():
+                    start = max(0, diagonal)
+                    n = max(0, min(len(x) - start, len(y) - (start - diagonal)))
+                    same = np.zeros(n + 2, np.int8)
+                    same[1:-1] = x[start:start + n] == y[start - diagonal:start - diagonal + n]
+                    turn = np.diff(same)
+                    first, stop = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+                    run = np.unique(np.searchsorted(first, np.array(at) - start, side="right") - 1)
+                    for r in run[run >= 0]:
+                        if stop[r] - first[r] >= MIN_WORDS:
+                            out.append((doc, int(start + first[r]), int(stop[r] - first[r]), ref, int(start + first[r] - diagonal)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "start", "n_words", "other_id", "other_start"])
 
@@ -124,7 +129,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
               .withColumn("before", F.array_max(F.filter("ends", lambda e: e["doc_id"] < F.col("o.doc_id"))))
               .where("before IS NOT NULL").select("doc_id", "pos", F.col("before.doc_id").alias("ref_id"), F.col("before.pos").alias("ref_pos")))
     matches = swept.where("edge = 0").select("doc_id", "pos", "ref_id", "ref_pos").union(across)
-    lines = matches.groupBy("doc_id", "ref_id", (F.col("pos") - F.col("ref_pos")).alias("diagonal")).agg(F.collect_set("pos").alias("places"))
+    # One row for each pair of documents, so that each text meets another one once.
+    place = F.struct((F.col("pos") - F.col("ref_pos")).alias("diagonal"), F.col("pos"))
+    lines = matches.groupBy("doc_id", "ref_id").agg(F.collect_set(place).alias("places"))
     texts = lines.join(slim, "doc_id").join(slim.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text")), "ref_id")
-    return texts.select("doc_id", "ref_id", "diagonal", "places", "text", "ref_text").mapInArrow(
+    return texts.select("doc_id", "ref_id", "places", "text", "ref_text").mapInArrow(
         _extend, "doc_id long, start long, n_words long, other_id long, other_start long").distinct()
