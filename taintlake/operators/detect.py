@@ -27,7 +27,7 @@ def struct_rules(rules: Iterable[Rule]) -> list[Rule]:
 
 
 def rules_for(rules: Iterable[Rule], lang: str) -> list[Rule]:
-    return [r for r in rules if lang in r.languages or "all" in r.languages]
+    return [r for r in rules if lang in r.languages]
 
 
 def _patterns(rules: Iterable[Rule], lang: str, kinds: Iterable[str], field: str = "sink_patterns") -> list[str]:
@@ -215,7 +215,7 @@ def _meets_sink(patterns: list[str]) -> str:
 
 
 def rule_condition(r: Rule) -> str:
-    langs = [n for n in STRUCT_LANGS if n in r.languages or "all" in r.languages]
+    langs = [n for n in STRUCT_LANGS if n in r.languages]
     cond = ["tainted" if r.requires_taint else "NOT tainted", one_of("lang", langs) if langs else "false"]
     if r.kind in CALL_KINDS:
         cond += ["kind = 'call'", _meets_sink(r.sink_patterns)]

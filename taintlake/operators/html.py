@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taintlake.functions import text
-from taintlake.operators.facts import as_units
 from taintlake.rules.catalog import JS
 
 INLINE_LABEL = "html (inline <script>)"
@@ -49,7 +48,7 @@ def html_scripts(src_files: DataFrame) -> DataFrame:
 
 
 def html_attrs(src_files: DataFrame) -> DataFrame:
-    """Attributes ``(path, pos, line, attr, value, text)`` of all tags."""
+    """Attributes ``(path, pos, line, attr, value, text)`` of all tags.  Row-local, as scripts are."""
     def tag_parts(piece: Column) -> Column:
         head = F.regexp_extract(piece, _OPEN_TAG, 0)
         raw = F.length(head) > 0
@@ -62,20 +61,22 @@ def html_attrs(src_files: DataFrame) -> DataFrame:
         whole = F.array(F.struct(F.lit(False).alias("in_tag"), piece.alias("piece")))
         return F.when(raw, F.concat(parts, rest)).when(is_tag, parts).otherwise(whole)
 
-    units = as_units(src_files)
-    files = (units.groupBy("file_id").agg(F.first(F.struct("path", "content")).alias("u"))
-             .select("file_id", "u.*"))
-    rows = files.select("file_id", "path", F.posexplode(
-        F.flatten(F.transform(_pieces(F.col("content")), tag_parts))).alias("pos", "x"))
-    rows = rows.select("file_id", "path", "pos", "x.in_tag", "x.piece", _newlines(F.col("x.piece")).alias("nl"))
-    rows = rows.withColumn("line", F.expr(
-        "CAST(1 + coalesce(sum(nl) OVER (PARTITION BY file_id ORDER BY pos"
-        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT)"))
+    def walk(state: Column, part: Column) -> Column:
+        found = F.struct(state["pos"].alias("pos"), (state["lines"] + 1).alias("line"), part["piece"].alias("piece"))
+        return F.struct(
+            (state["pos"] + 1).alias("pos"), (state["lines"] + _newlines(part["piece"])).alias("lines"),
+            F.when(part["in_tag"] & part["piece"].rlike(r"""^[^\s=>"'/<]"""), F.array_append(state["found"], found))
+            .otherwise(state["found"]).alias("found"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("lines"),
+                     F.array().cast("array<struct<pos:int,line:int,piece:string>>").alias("found"))
+    parts = F.flatten(F.transform(_pieces(F.col("content")), tag_parts))
+    rows = src_files.select("path", F.explode(F.aggregate(parts, start, walk, lambda x: x["found"])).alias("x"))
+    rows = rows.select("path", "x.pos", "x.line", "x.piece")
     piece = F.col("piece")
     value = F.concat(*[F.coalesce(F.regexp_extract(piece, _VALUE, i), F.lit("")) for i in (1, 2, 3)])
-    return (rows.where(F.col("in_tag") & piece.rlike(r"""^[^\s=>"'/<]"""))
-            .select("path", "pos", "line", F.regexp_extract(piece, _NAME, 1).alias("attr"), value.alias("value"),
-                    piece.alias("text")))
+    return rows.select("path", "pos", "line", F.regexp_extract(piece, _NAME, 1).alias("attr"), value.alias("value"),
+                       piece.alias("text"))
 
 
 def uri_hits(src_files: DataFrame, rule) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from taintlake.functions import text
 from taintlake.functions.patterns import FLAGS, match_any, matches, one_of, prefilter
 from taintlake.operators.taint import tainted_names
-from taintlake.rules.catalog import FALLBACK_SOURCES, Rule
+from taintlake.rules.catalog import CONFIDENCE_RANK, FALLBACK_SOURCES, Rule
 
 ENGINE_ORDER = {"struct": 0, "fallback": 0, "secrets": 1, "config": 2}
 
@@ -34,9 +34,11 @@ def _prefilter(rules: list[Rule]) -> Column:
     return prefilter([p for r in rules for p in r.sink_patterns])
 
 
-def line_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
+def line_hits(src_files: DataFrame, rules: list[Rule], best_only: bool = False) -> DataFrame:
     """Hits of line rules that need no taint, for ``src_files`` with ``lang``.
-    A user rule may name languages; an empty list means all files."""
+    A user rule may name languages; an empty list means all files.  With
+    ``best_only`` a line has one hit per finding name: the one that
+    ``report.dedupe`` would keep."""
     rules = [r for r in rules if not r.requires_taint]
     rows = src_files.where(_prefilter(rules))
     lines = F.filter(F.transform(text.split_lines(F.col("content")),
@@ -48,7 +50,16 @@ def line_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
         c = matches("line", r.sink_patterns, _case(r))
         return f"{c} AND {one_of('lang', r.languages)}" if r.languages else c
 
-    return _explode_hits(rows, rules, cond)
+    def best(r: Rule) -> str:
+        better = [cond(o) for o in rules if o.name == r.name and _merit(o) < _merit(r)]
+        return " AND ".join([cond(r), *(f"NOT ({c})" for c in better)])
+
+    return _explode_hits(rows, rules, best if best_only else cond)
+
+
+def _merit(rule: Rule) -> tuple[int, int, int]:
+    """Order of preference among hits on one line."""
+    return -CONFIDENCE_RANK.get(rule.confidence, 0), ENGINE_ORDER[rule.engine], rule.rule_ord
 
 
 def fallback_taint_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -24,16 +24,22 @@ def union_findings(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def key_of(findings: DataFrame) -> list[str]:
+    """What one finding is told apart by; dependency findings also by their project."""
+    return [*KEY, "project"] if "project" in findings.columns else KEY
+
+
 def dedupe(findings: DataFrame) -> DataFrame:
     """One finding per file, line and type: the most confident, among equals the
     first met.  A minimum is taken instead of a row number, so copies are merged
     before the shuffle and no group has to be held in one task.  ``first_seq`` is
     where the key was met first."""
-    rest = [c for c in findings.columns if c not in (*KEY, "seq")]
+    key = key_of(findings)
+    rest = [c for c in findings.columns if c not in (*key, "seq")]
     best = F.struct((-rank_of(F.col("confidence"), CONFIDENCE_RANK)).alias("c"), F.col("seq"),
                     *[F.col(c) for c in rest])
-    out = findings.groupBy(*KEY).agg(F.min(best).alias("b"), F.min("seq").alias("first_seq"))
-    return out.select(*[F.col(c) if c in KEY else F.col(f"b.{c}").alias(c)
+    out = findings.groupBy(*key).agg(F.min(best).alias("b"), F.min("seq").alias("first_seq"))
+    return out.select(*[F.col(c) if c in key else F.col(f"b.{c}").alias(c)
                         for c in findings.columns if c != "seq"],
                       F.col("b.seq").alias("seq"), "first_seq")
 
@@ -50,25 +56,22 @@ def rank(findings: DataFrame) -> DataFrame:
 
 def with_rank(findings: DataFrame) -> DataFrame:
     """Explicit global ``rank`` column without a one-task window: rows are range
-    partitioned in report order, numbered inside each range, and shifted by the
-    sizes of the ranges before.  The ranges are written once so that both uses
-    see the same split; their sizes are one row per partition."""
+    partitioned in report order, sorted and numbered where they lie, and written
+    once, so that a lost task cannot number them anew.  A row's number holds its
+    partition in the upper bits; adding the sizes of the partitions before, one
+    row each, needs no further shuffle of the findings."""
     order = _order()
-    parts = saved(findings.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
-    inside = parts.withColumn("_row", F.row_number().over(_window("_range", order)))
-    sizes = parts.groupBy("_range").count()
-    before = sizes.select("_range", F.expr(
+    parts = saved(findings.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    parts = parts.withColumn("_range", F.shiftright("_row", 33)).withColumn(
+        "_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    before = parts.groupBy("_range").count().select("_range", F.expr(
         "coalesce(sum(count) OVER (ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     ).alias("_before"))
-    return (inside.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_row"))
+    return (parts.join(before, "_range").withColumn("rank", F.col("_before") + F.col("_row"))
             .drop("_range", "_row", "_before"))
 
 
-def _window(part: str, order: list[Column]):
-    from pyspark.sql import Window
-    return Window.partitionBy(part).orderBy(*order)
-
-
 def finished(findings: DataFrame) -> DataFrame:
     """The 16 public columns."""
     return findings.select(*FINDING_COLUMNS)
@@ -85,10 +88,12 @@ def by_severity(findings: DataFrame) -> DataFrame:
 
 def nested_report(findings: DataFrame) -> DataFrame:
     """One row per file with its findings in report order.  A file's findings are
-    bounded by its lines times the rules, after deduplication."""
+    bounded by its lines times the rules, after deduplication; for dependency
+    findings, one row per project and package, bounded by the package's advisories."""
     order = F.struct((-rank_of(F.col("severity"), SEVERITY_RANK)).alias("s"), (-F.col("score")).alias("n"),
                      F.col("line").alias("l"), F.col("first_seq").alias("q"),
                      F.struct(*[c for c in FINDING_COLUMNS if c != "file_path"]).alias("finding"))
-    return (findings.groupBy("file_path")
+    keys = [c for c in ("project", "file_path") if c in findings.columns]
+    return (findings.groupBy(*keys)
             .agg(F.count("*").alias("n_findings"), F.sort_array(F.collect_list(order)).alias("f"))
-            .select("file_path", "n_findings", F.col("f.finding").alias("findings")))
+            .select(*keys, "n_findings", F.col("f.finding").alias("findings")))

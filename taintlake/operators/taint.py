@@ -140,7 +140,12 @@ def reaching_defs(defs: DataFrame, uses: DataFrame, keys: tuple[str, ...] = ("fi
     # At equal positions the use comes first: a definition is not visible to its own right side.
     d = defs.select(*keys, F.col("def_pos").alias("_at"), F.lit(1).alias("_k"), F.col("def_pos").alias("_def"))
     u = uses.select("*", F.col("eval_pos").alias("_at"), F.lit(0).alias("_k"))
-    both = d.unionByName(u, allowMissingColumns=True)
+    return last_definition(d.unionByName(u, allowMissingColumns=True), keys).withColumnRenamed("_def", "def_pos").select(
+        *uses.columns, "def_pos")
+
+
+def last_definition(both: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Uses (``_k`` 0) with the ``_def`` of the last definition (``_k`` 1) before
+    them on the axis ``_at``; uses without one are left out."""
     over = f"PARTITION BY {', '.join(keys)} ORDER BY _at, _k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return (both.withColumn("def_pos", F.expr(f"last(_def, true) OVER ({over})"))
-            .where("_k = 0 AND def_pos IS NOT NULL").select(*uses.columns, "def_pos"))
+    return both.withColumn("_def", F.expr(f"last(_def, true) OVER ({over})")).where("_k = 0 AND _def IS NOT NULL")

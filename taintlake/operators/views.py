@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taintlake.operators import detect, facts
-from taintlake.operators.taint import reaching_defs
+from taintlake.operators.taint import last_definition
 
 
 def tokens(units: DataFrame) -> DataFrame:
@@ -43,27 +43,42 @@ def defs(facts_: DataFrame) -> DataFrame:
                        "d.is_simple", "d.is_literal")
 
 
-def uses(facts_: DataFrame) -> DataFrame:
-    """Variables read by a right side or by arguments, outside nested receivers.
+def _contexts():
+    """Variables read by each right side and by arguments, outside nested receivers.
     A context is evaluated where its statement starts, so a definition is not
     visible to its own right side."""
     def ctx(kind: str, x):
         inside = F.filter(F.slice("uses", x["uses_lo"] + 1, F.greatest(
             F.coalesce(x["uses_hi"], F.col("n_uses")) - x["uses_lo"], F.lit(0))), lambda u: u["cover"] == x["cover"])
-        return F.struct(F.lit(kind).alias("ctx_kind"), x["start"].alias("eval_pos"), x["line"].alias("line"),
+        return F.struct(F.lit(kind).alias("ctx_kind"), x["start"].alias("pos"), x["line"].alias("line"),
                         F.array_distinct(F.flatten(F.transform(inside, lambda u: u["names"]))).alias("names"))
-    all_ctx = F.concat(F.transform("defs", lambda d: ctx("def", d)), F.transform("calls", lambda c: ctx("call", c)),
-                       F.transform("stmts", lambda s: ctx("stmt", s)))
-    rows = facts_.select("file_id", "path", "line_offset", F.explode(all_ctx).alias("x"))
-    return rows.select("file_id", "path", "x.ctx_kind", "x.eval_pos",
+    return F.concat(F.transform("defs", lambda d: ctx("def", d)), F.transform("calls", lambda c: ctx("call", c)),
+                    F.transform("stmts", lambda s: ctx("stmt", s)))
+
+
+def uses(facts_: DataFrame) -> DataFrame:
+    """Variables read, with the context that reads them."""
+    rows = facts_.select("file_id", "path", "line_offset", F.explode(_contexts()).alias("x"))
+    return rows.select("file_id", "path", "x.ctx_kind", F.col("x.pos").alias("eval_pos"),
                        (F.col("x.line") + F.col("line_offset")).alias("line"), F.explode("x.names").alias("var"))
 
 
 def reached_uses(facts_: DataFrame) -> DataFrame:
-    """Uses with the line of the definition that reaches them."""
-    d = defs(facts_).where("is_simple").select("file_id", "var", "def_pos", F.col("line").alias("def_line"))
-    hit = reaching_defs(d.select("file_id", "var", "def_pos"), uses(facts_))
-    return hit.join(d, ["file_id", "var", "def_pos"])
+    """Uses with the line of the definition that reaches them.  Both leave a file's
+    row by one explode, so the facts are made once and nothing is joined."""
+    plain = F.transform(F.filter("defs", lambda d: d["simple"]), lambda d: F.struct(
+        F.lit(None).cast("string").alias("ctx_kind"), d["start"].alias("pos"), d["line"].alias("line"),
+        F.array(detect._bare_name(d["name_pos"])).alias("names")))
+    rows = facts_.select("file_id", "path", "line_offset", F.explode(F.concat(plain, _contexts())).alias("x"))
+    rows = rows.select("file_id", "path", "x.ctx_kind", (F.col("x.line") + F.col("line_offset")).alias("line"),
+                       F.col("x.pos").alias("_at"), F.explode("x.names").alias("var"))
+    # At equal positions the use comes first, as in ``reaching_defs``.
+    is_def = F.col("ctx_kind").isNull()
+    both = rows.withColumn("_k", is_def.cast("int")).withColumn(
+        "_def", F.when(is_def, F.struct(F.col("_at").alias("pos"), F.col("line").alias("line"))))
+    return last_definition(both, ("file_id", "var")).select(
+        "file_id", "path", "ctx_kind", "line", "var", F.col("_at").alias("eval_pos"),
+        F.col("_def.pos").alias("def_pos"), F.col("_def.line").alias("def_line"))
 
 
 def tainted_defs(facts_: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taintlake.functions import text
 from taintlake.operators import deps, facts, html, line_rules, project, report, taint, views
 from taintlake.plans.scan import raw_findings, scan
-from taintlake.plans.storage import saved, shared_dir
+from taintlake.plans.storage import shared_dir
 from taintlake.rules.catalog import STRUCT_LANGS
 from taintlake.sources.files import as_source_files, split_blank
 from taintlake.sources.packages import read_dependencies
@@ -28,9 +28,13 @@ def scan_findings(spark: SparkSession, sf: str) -> DataFrame:
     return shown(scan(corpus.code_corpus(spark, sf)))
 
 
-def _scan_only(*only: str, where: str = "true"):
+def _scan_only(*only: str, lang: str | None = None, where: str = "true"):
+    """A scan with some kinds of rules, of files in one language if it is given."""
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return shown(scan(corpus.code_corpus(spark, sf), only=list(only)).where(where))
+        files = corpus.code_corpus(spark, sf)
+        if lang is not None:
+            files = files.where(project.lang_of(F.col("file_name")) == lang)
+        return shown(scan(files, only=list(only)).where(where))
     return query
 
 
@@ -141,8 +145,7 @@ def assign_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reaching_defs(spark: SparkSession, sf: str) -> DataFrame:
-    # Definitions and uses both come from the facts, so these are written once.
-    return views.reached_uses(saved(_facts(spark, sf), "facts")).select(
+    return views.reached_uses(_facts(spark, sf)).select(
         "path", "ctx_kind", F.col("line").cast("long").alias("line"), "var",
         F.col("def_line").cast("long").alias("def_line"))
 
@@ -273,7 +276,7 @@ QUERIES = {
     "pattern_match": pattern_match,
     "html_scripts": html_scripts,
     "html_attrs": html_attrs,
-    "html_findings": _scan_only("struct", where="lang LIKE 'html%'"),
+    "html_findings": _scan_only("struct", lang="html"),
     "page_findings": page_findings,
     "token_lines": token_lines,
     "call_facts": call_facts,
@@ -289,7 +292,7 @@ QUERIES = {
     "assign_literal": _scan_only("assign_literal"),
     "missing_flag": _scan_only("missing_flag"),
     "weak_random": _scan_only("lhs_random"),
-    "php_echo": _scan_only("call_taint", where="rule_id = 'XSS-1'"),
+    "php_echo": _scan_only("call_taint", lang="php", where="rule_id = 'XSS-1'"),
     "dep_advisories": dep_advisories,
     "dep_clean": dep_clean,
     "dedupe_findings": dedupe_findings,
