@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from taintlake.functions import text
 from taintlake.rules.catalog import JS
 
 INLINE_LABEL = "html (inline <script>)"
@@ -25,9 +24,9 @@ def _newlines(col: Column) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit("\n"), F.lit("")))
 
 
-def html_scripts(src_files: DataFrame) -> DataFrame:
-    """Script bodies as JavaScript units of their file.  Row-local: pieces are
-    walked once, counting line ends, and only scripts are kept."""
+def scripts_of(content: Column) -> Column:
+    """Script bodies with their line offset.  Pieces are walked once, counting line
+    ends, and only scripts are kept."""
     def walk(state: Column, piece: Column) -> Column:
         head = F.regexp_extract(piece, _OPEN_TAG, 0)
         body = F.regexp_replace(F.substring(piece, F.length(head) + 1, F.length(piece)), r"(?i)</script\s*>$", "")
@@ -40,15 +39,18 @@ def html_scripts(src_files: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("lines"),
                      F.array().cast("array<struct<line_offset:int,content:string>>").alias("found"))
-    found = F.aggregate(_pieces(F.col("content")), start, walk, lambda s: s["found"])
-    return (src_files.where(F.col("content").rlike(r"(?i)<script\b"))
-            .select("path", F.posexplode(found).alias("unit_no", "s"))
+    return F.when(content.rlike(r"(?i)<script\b"), F.aggregate(_pieces(content), start, walk, lambda s: s["found"]))
+
+
+def html_scripts(src_files: DataFrame) -> DataFrame:
+    """Script bodies as JavaScript units of their file.  Row-local."""
+    return (src_files.select("path", F.posexplode(scripts_of(F.col("content"))).alias("unit_no", "s"))
             .select("path", "unit_no", F.lit(JS).alias("lang"), F.lit(INLINE_LABEL).alias("out_lang"),
                     F.col("s.line_offset").alias("line_offset"), F.col("s.content").alias("content")))
 
 
-def html_attrs(src_files: DataFrame) -> DataFrame:
-    """Attributes ``(path, pos, line, attr, value, text)`` of all tags.  Row-local, as scripts are."""
+def attrs_of(content: Column) -> Column:
+    """Attributes of all tags as ``(pos, line, piece)``, in order."""
     def tag_parts(piece: Column) -> Column:
         head = F.regexp_extract(piece, _OPEN_TAG, 0)
         raw = F.length(head) > 0
@@ -70,8 +72,12 @@ def html_attrs(src_files: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("lines"),
                      F.array().cast("array<struct<pos:int,line:int,piece:string>>").alias("found"))
-    parts = F.flatten(F.transform(_pieces(F.col("content")), tag_parts))
-    rows = src_files.select("path", F.explode(F.aggregate(parts, start, walk, lambda x: x["found"])).alias("x"))
+    return F.aggregate(F.flatten(F.transform(_pieces(content), tag_parts)), start, walk, lambda x: x["found"])
+
+
+def html_attrs(src_files: DataFrame) -> DataFrame:
+    """Attributes ``(path, pos, line, attr, value, text)`` of all tags.  Row-local, as scripts are."""
+    rows = src_files.select("path", F.explode(attrs_of(F.col("content"))).alias("x"))
     rows = rows.select("path", "x.pos", "x.line", "x.piece")
     piece = F.col("piece")
     value = F.concat(*[F.coalesce(F.regexp_extract(piece, _VALUE, i), F.lit("")) for i in (1, 2, 3)])
@@ -79,10 +85,7 @@ def html_attrs(src_files: DataFrame) -> DataFrame:
                        piece.alias("text"))
 
 
-def uri_hits(src_files: DataFrame, rule) -> DataFrame:
-    """Attributes with a ``javascript:`` address, as rule hits."""
-    rows = src_files.where(F.col("content").rlike("(?i)javascript:"))
-    return (html_attrs(rows).where(F.col("text").rlike("(?i)javascript:"))
-            .select("path", F.lit("html").alias("lang"), "line", F.lit(rule.rule_ord).alias("rule_ord"),
-                    text.place(F.lit(0), F.lit(0), F.col("pos"), F.lit(rule.rule_ord)),
-                    text.snippet(F.col("text")).alias("snippet")))
+def uri_attrs(content: Column) -> Column:
+    """Attributes with a ``javascript:`` address; null for a page without that word."""
+    return F.when(content.rlike("(?i)javascript:"),
+                  F.filter(attrs_of(content), lambda x: x["piece"].rlike("(?i)javascript:")))

@@ -6,42 +6,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from taintlake.operators import detect, facts, html, line_rules, report
 from taintlake.operators.project import engine_of, fill_finding_defaults, with_lang
-from taintlake.rules.catalog import RULES, Rule, rules_frame
+from taintlake.rules.catalog import JS, RULES, Rule, rules_frame
 from taintlake.rules.custom import merge_rules
 
 
+def units_of(files: DataFrame) -> DataFrame:
+    """What a parser reads: whole files, and the scripts of pages, in one read."""
+    item = "array<struct<lang:string,out_lang:string,line_offset:int,content:string>>"
+    scripts = F.transform(html.scripts_of(F.col("content")), lambda s: F.struct(
+        F.lit(JS).alias("lang"), F.lit(html.INLINE_LABEL).alias("out_lang"), s["line_offset"].alias("line_offset"), s["content"].alias("content")))
+    whole = F.array(F.struct("lang", F.col("lang").alias("out_lang"), F.lit(0).alias("line_offset"), "content"))
+    engine = engine_of(F.col("lang"))
+    return files.select("path", F.posexplode(
+        F.when(engine == "struct", whole.cast(item)).when(engine == "html", scripts.cast(item))
+    ).alias("unit_no", "u")).select("path", "unit_no", "u.*")
+
+
 def rule_hits(src_files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Hits of all engines.  A branch exists only if a rule asks for it."""
+    """Hits of all engines: one read for those that look at a row alone, one for
+    those that parse.  A branch exists only if a rule asks for it."""
     files = with_lang(src_files).select("path", "lang", "content")
-    engine = engine_of(F.col("lang"))
     hits = []
 
     structural = detect.struct_rules(rules)
-    if structural:
-        by_call = [r for r in structural if r.rule_id != "XSS-4"]
-        in_attr = [r for r in structural if r.rule_id == "XSS-4"]
-        pages = files.where(engine == "html")
-        if by_call:
-            code = files.where(engine == "struct").select(
-                "path", F.lit(0).alias("unit_no"), "lang", F.col("lang").alias("out_lang"),
-                F.lit(0).alias("line_offset"), "content")
-            units = code.unionByName(html.html_scripts(pages))
-            units = units.where(detect.worth_parsing(by_call))
-            found = detect.candidates(facts.file_facts(facts.as_units(units), all_uses=False), by_call)
-            hits.append(detect.struct_hits(found, by_call))
-        for rule in in_attr:
-            hits.append(html.uri_hits(pages, rule))
-
-    fallback = [r for r in rules if r.engine == "fallback"]
-    unparsed = files.where(engine == "fallback")
-    if any(not r.requires_taint for r in fallback):
-        hits.append(line_rules.line_hits(unparsed, fallback))
-    if any(r.requires_taint for r in fallback):
-        hits.append(line_rules.fallback_taint_hits(unparsed, fallback))
-
-    everywhere = [r for r in rules if r.engine in ("secrets", "config")]
-    if everywhere:
-        hits.append(line_rules.line_hits(files, everywhere))
+    by_call = [r for r in structural if r.rule_id != "XSS-4"]
+    if by_call:
+        units = units_of(files).where(detect.worth_parsing(by_call))
+        found = detect.candidates(facts.file_facts(facts.as_units(units), all_uses=False), by_call)
+        hits.append(detect.struct_hits(found, by_call))
+
+    by_row = [r for r in rules if r.engine != "struct"]
+    in_attr = [r for r in structural if r.rule_id == "XSS-4"]
+    if by_row or in_attr:
+        hits.append(line_rules.local_hits(files, by_row, in_attr))
     return report.union_findings(*hits)
 
 

@@ -112,3 +112,16 @@ def test_plans(spark):
         (2, 1, "href", "x"), (7, 2, "id", "1")]
     code = spark.createDataFrame([("a.py", "python", "x = 1\ny = x")], "path string, lang string, content string")
     assert plan_of(views.reached_uses(file_facts(as_units(code)))).count("Join") == 0
+
+
+def test_a_scan_reads_its_input_twice(spark, tmp_path):
+    from taintlake.plans.scan import scan
+
+    rows = [("a.py", "a.py", "q = input()\neval(q)\n"), ("b.html", "b.html", "<a href='javascript:x'>\n<script>eval(1)</script>"),
+            ("c.txt", "c.txt", "x = argv[1]\nsystem(x)\nDEBUG = True\n"), ("d.py", "d.py", None)]
+    spark.createDataFrame(rows, "path string, file_name string, content string").write.parquet(str(tmp_path / "src"))
+    found = scan(spark.read.parquet(str(tmp_path / "src")))
+    assert {(r.file_path, r.line, r.rule_id) for r in found.collect()} == {
+        ("a.py", 2, "EVAL-1"), ("b.html", 1, "XSS-4"), ("b.html", 2, "EVAL-1"), ("c.txt", 2, "FALLBACK-Command_Injection"),
+        ("c.txt", 3, "CONFIGSCAN-Debug_Mode_Enabled"), ("c.txt", 3, "FALLBACK-Information_Disclosure")}
+    assert plan_of(scan(spark.read.parquet(str(tmp_path / "src")))).count("FileScan parquet") == 2
