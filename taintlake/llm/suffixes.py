@@ -110,9 +110,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """Passages of 50 words or more that a document shares with the one before it in
     suffix order: doc_id, start, n_words, other_id, other_start (in words).
 
-    Every document with a passage that some other one has stands in the result, as
-    doc_id or as other_id; other_id is the smaller.  Repeats inside one document don't
-    count.  Null and empty texts have no words, and rows without a doc_id take no part.
+    A document stands in the result, as doc_id or as other_id (the smaller), if at one of
+    a passage's suffixes the neighbour shares 50 words too.  Where every neighbour shares
+    the suffix's 32 words but fewer than 50 in all, a third document that shares more is
+    not met.  Repeats inside one document don't count.  Null and empty texts have no words, and rows without a doc_id take no part.
     Rows that repeat a doc_id are texts of one document.  Other columns are
     ignored."""
     spark = docs.sparkSession
