@@ -6,6 +6,8 @@ repeat the way the findings are computed.
 
 from __future__ import annotations
 
+from workloads import catalogue
+
 # tid, line, rule_id, vuln_type, severity, score, cwe, confidence, category, lang, snippet
 GOLDEN: list[tuple] = [
     (0, 3, "SQLI-1", "SQL Injection", "Critical", 9.8, "CWE-89", "High", "Injection", "php",
@@ -284,7 +286,24 @@ _TAG = r"""<[a-zA-Z?](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
 _PIECES = rf"""(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|{_TAG}|[^<]+|<"""
 _IN_TAG = r"""(?s)<[/!?]?[\w:-]*|[^\s=>"''/<]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+))?|\s+|."""
 
+# Line rules that need no taint, which a stream reports.
+_NEED_TAINT = ("FALLBACK-SQL_Injection", "FALLBACK-Command_Injection", "FALLBACK-Reflected_XSS", "FALLBACK-Path_Traversal",
+               "FALLBACK-File_Inclusion")
+
+
+def _catalogue(keep=lambda rule: True) -> str:
+    rows = [r for r in catalogue.expected() if keep(r[-1])]
+    return f"""WITH g(tid, ext, line, vuln_type, severity, score, cwe, confidence, category, explanation, recommendation,
+            lang, code_snippet, rule_id) AS (VALUES {_values(rows)})
+        SELECT 'app/c' || c_custkey || ext AS file_path, line::BIGINT AS line, line::BIGINT AS end_line, vuln_type, severity,
+            score::DOUBLE AS score, cwe, confidence, category, '' AS reason, explanation, recommendation, lang,
+            code_snippet, '' AS taint_source, rule_id
+        FROM customer JOIN g ON c_custkey % {len(catalogue.FILES)} = g.tid"""
+
+
 ORACLES: dict[str, str] = {
+    "rule_findings": _catalogue(),
+    "stream_lines": _catalogue(lambda rule: rule.startswith(_LINE_ENGINES) and rule not in _NEED_TAINT),
     "scan_findings": _findings(),
     "stream_scan": _findings(),
     "ingest_lenient": f"""SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest, '' AS reject_reason

@@ -11,10 +11,11 @@ from taintlake.operators import deps, facts, html, line_rules, project, report,
 from taintlake.plans.scan import raw_findings, scan
 from taintlake.plans.storage import shared_dir
 from taintlake.rules.catalog import STRUCT_LANGS
+from taintlake.schemas import FINDING_COLUMNS
 from taintlake.sources.files import as_source_files, split_blank
 from taintlake.sources.packages import read_dependencies
-from taintlake.streaming.scan_stream import scan_batches
-from workloads import corpus
+from taintlake.streaming.scan_stream import line_findings_stream, scan_batches
+from workloads import catalogue, corpus
 
 SHOWN = ["file_path", "line", "rule_id", "vuln_type", "severity", "score", "cwe", "confidence", "category", "lang",
          "code_snippet"]
@@ -263,6 +264,28 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return shown(spark.read.parquet(f"{folder}/out"))
 
 
+def whole(findings: DataFrame) -> DataFrame:
+    """All sixteen columns of a finding."""
+    return findings.select(*[F.col(c).cast("long").alias(c) if c in ("line", "end_line") else F.col(c) for c in FINDING_COLUMNS])
+
+
+def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule of the catalogue, over one file per customer."""
+    return whole(scan(catalogue.table(spark, sf)))
+
+
+def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The stateless line engines over a stream of the same files."""
+    name = "customer"
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    files = catalogue.source_files(stream).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    found = line_findings_stream(files)
+    (found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return whole(spark.read.schema(found.schema).parquet(f"{folder}/out"))
+
 
 QUERIES = {
     "scan_findings": scan_findings,
@@ -301,4 +324,6 @@ QUERIES = {
     "severity_report": severity_report,
     "union_counts": union_counts,
     "stream_scan": stream_scan,
+    "rule_findings": rule_findings,
+    "stream_lines": stream_lines,
 }
