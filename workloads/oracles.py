@@ -256,7 +256,8 @@ _DEPS = f"""
         SELECT DISTINCT 'proj' || l_orderkey AS project, 'pkg' || (l_partkey % 700) AS package,
             CASE WHEN l_linenumber = 7 THEN 'PyPI' ELSE {_ECO}[l_suppkey % 5 + 1] END AS ecosystem, l_linenumber = 7 AS d
         FROM lineitem
-        UNION ALL SELECT 'cust' || c_custkey, 'pkg' || (c_custkey % 500), 'PyPI', false FROM customer
+        UNION ALL SELECT 'cust' || c_custkey, 'pkg' || (c_custkey % 500),
+            (['PyPI', 'npm', 'Maven', 'Go', 'Debian', 'Debian', 'Alpine'])[c_custkey % 7 + 1], false FROM customer
         UNION ALL SELECT 'cust' || c_custkey, 'pkg1', 'Unknown', false FROM customer),
     adv AS (SELECT 'ADV-' || p_partkey AS id, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS summary,
             'pkg' || (p_partkey % 500) AS package, {_ECO}[p_partkey % 5 + 1] AS ecosystem FROM part)"""
@@ -355,7 +356,15 @@ ORACLES: dict[str, str] = {
         FROM lines JOIN r ON regexp_matches(line, pattern)
         UNION ALL
         SELECT 'page' || page_id || '.html', 0, 'script', 'script', '', 0, '', '', '', 'html', html
-        FROM pages WHERE regexp_matches(html, {_sql(_IN_SCRIPT)}) OR regexp_matches(html, '(?i)<[^>]+javascript:')""",
+        FROM pages WHERE regexp_matches(html, {_sql(_IN_SCRIPT)}) OR regexp_matches(html, '(?i)<[^>]+javascript:')
+        UNION ALL
+        SELECT 'page' || page_id || '.html', length(html) - length(replace(html, chr(10), '')) + down, rule_id, vuln_type,
+            severity, score::DOUBLE, cwe, confidence, 'XSS', lang, snippet
+        FROM pages CROSS JOIN (VALUES
+            (4, 'XSS-2', 'DOM-based Cross-Site Scripting (XSS)', 'Critical', 9.2, 'CWE-79', 'High', 'html (inline <script>)',
+             'out.innerHTML = h'),
+            (6, 'XSS-4', 'javascript: URI Scheme', 'Medium', 6.1, 'CWE-79', 'Low', 'html', 'href="javascript:go()"'))
+            t(down, rule_id, vuln_type, severity, score, cwe, confidence, lang, snippet) WHERE page_id % 2 = 0""",
     "html_findings": _findings(lambda r: r[0] == 10),
     "token_lines": _per_template("tid, line, n", TOKENS, "line::BIGINT AS line, n::BIGINT AS n_tokens"),
     "call_facts": _per_template("tid, line, callee, args", CALLS,

@@ -103,6 +103,9 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return project.with_lang(as_source_files(pages, path, F.col("html")))
 
 
+PAGE_TAIL = '\n<script>\nvar h = location.hash;\nout.innerHTML = h;\n</script>\n<a href="javascript:go()">x</a>\n'
+
+
 def html_scripts(spark: SparkSession, sf: str) -> DataFrame:
     return html.html_scripts(_pages(spark, sf)).select(
         "path", F.col("unit_no").cast("long").alias("unit_no"), F.col("line_offset").cast("long").alias("line_offset"),
@@ -114,8 +117,10 @@ def html_attrs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Real pages through every engine: text that merely looks like code."""
-    return shown(scan(_pages(spark, sf)))
+    """Real pages through every engine: text that merely looks like code.  Every second
+    page ends in a script and a link that are to be found."""
+    tail = F.when(F.col("path").rlike("[02468]\\.html$"), F.lit(PAGE_TAIL)).otherwise("")
+    return shown(scan(_pages(spark, sf).withColumn("content", F.concat("content", tail))))
 
 
 # ------------------------------------------------------------------------- facts
@@ -173,6 +178,10 @@ def tainted_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ dependencies
+LABELS = ["Python Package", "Node.js Package", "Java Package", "Go Package", "C / C++ Library",
+          "Linux Package (Debian/Ubuntu)", "Alpine Linux Package"]
+
+
 def _deps_and_advisories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = corpus.dependencies(spark, sf)
     # Every customer adds a padded name, a blank one and an unknown ecosystem.
@@ -180,7 +189,8 @@ def _deps_and_advisories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataF
     more = corpus.table(spark, sf, "customer").select(F.explode(F.array(
         F.struct(F.concat(F.lit("cust"), key).alias("project"),
                  F.concat(F.lit(" \t pkg"), (F.col("c_custkey") % 500).cast("string"), F.lit("\n")).alias("package"),
-                 F.lit("Python Package").alias("ecosystem")),
+                 F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("c_custkey") % 7 + 1).cast("int"))
+                 .alias("ecosystem")),
         F.struct(F.concat(F.lit("cust"), key).alias("project"), F.lit(" \t ").alias("package"),
                  F.lit("npm").alias("ecosystem")),
         F.struct(F.concat(F.lit("cust"), key).alias("project"), F.lit("pkg1").alias("package"),
