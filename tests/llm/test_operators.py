@@ -100,6 +100,39 @@ def test_passages(docs, texts, empty):
     assert suffixes.repeated_passages(empty).collect() == []
 
 
+@pytest.mark.parametrize("parts", [4, 40])
+def test_passages_behind_a_shared_head(spark, parts):
+    """Documents with the head of many others, some of which share more words."""
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = {}
+    for g in range(25):
+        head, left = some(rng.randint(32, 49) if g < 10 else 49), some(rng.randint(0, 18) if g < 10 else 0)
+        passage = left + head + some(max(0, rng.randint(50, 67 if g < 10 else 52) - len(left) - len(head)))
+        # The first and the last hold the passage; those between have the head alone.
+        group = [some(30) + passage + some(20)] + [some(rng.randint(0, 30)) + head + some(30) for _ in range(6)] + [some(10) + passage + some(9)]
+        if g % 2:
+            group[0] += head[-32:] + some(5) + head
+        rows |= {g * 100 + i: w for i, w in enumerate(group)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    got = suffixes.repeated_passages(df).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    windows = lambda w: {tuple(w[i:i + 50]) for i in range(len(w) - 49)}
+    found, holders = {i: set() for i in rows}, {}
+    for r in got:
+        run = rows[r.doc_id][r.start:r.start + r.n_words]
+        assert r.other_id < r.doc_id and run == rows[r.other_id][r.other_start:r.other_start + r.n_words] and len(run) >= 50
+        found[r.doc_id] |= windows(run)
+        found[r.other_id] |= windows(run)
+    for i, w in rows.items():
+        for x in windows(w):
+            holders.setdefault(x, set()).add(i)
+    want = {i: {x for x in windows(w) if len(holders[x]) > 1} for i, w in rows.items()}
+    assert found == want and sum(map(bool, want.values())) >= 50
+
+
 def brute_fingerprint(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = words(w)
