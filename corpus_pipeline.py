@@ -18,9 +18,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no language, which are null or have no letter, go."""
+    """Texts that are null or have no letter go.  Where no label can be learnt from, as
+    when `lang` is null everywhere, no language is known and all other texts stay."""
     found = langid.identify(docs.select(COLUMNS))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) | langid.has_letter(F.col("text").cast("string"))).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

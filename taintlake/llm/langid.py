@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
@@ -104,6 +104,16 @@ def held_out(docs: DataFrame):
     return F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for a null one."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and any(map(str.isalpha, t))).astype(bool)
+
+    return found(text)
+
+
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """All columns of `docs` with lang_pred, lang_score and lang_held_out appended.
 

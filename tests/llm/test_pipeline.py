@@ -27,3 +27,9 @@ def test_stages(spark, tmp_path):
     assert last[44] == rows[44] and last[45] == rows[45][len(passage) + 2:] and 46 not in last
     assert {r.doc_id for r in docs.collect()} == set(last)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_unlabelled(spark, tmp_path):
+    rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate(["some words here", "日本", "!!! 12", None, "", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {0, 1, 5}
