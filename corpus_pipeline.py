@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component stays."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(COLUMNS)
+    """One row of each SimHash component stays: that with the smallest doc_id, rows
+    without a doc_id last.  Rows that repeat a doc_id, and equal rows, are rows like others."""
+    return simhash.one_per_component(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,19 @@ def link_fingerprints(prints: DataFrame, name: str, radius: int = 4, tile_rows:
     return components(pairs.groupBy("pair").applyInArrow(compare, "a long, b long"), f"{name}-links")
 
 
+def _printed(rows: DataFrame, shingle: int) -> DataFrame:
+    """Column text replaced by its fingerprint fp; saved."""
+    keep = [c for c in rows.columns if c != "text"]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(found.view(np.int64))], [*keep, "fp"])
+
+    form = ", ".join([*[f"{c} long" for c in keep], "fp long"])
+    return saved(rows.mapInArrow(prints, form), "simhash-prints")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links
     of `radius` bits or fewer reach, itself included) for every row of `docs`.
@@ -117,17 +130,29 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     other.  A text of fewer words than a shingle is one shingle.  Rows that repeat a
     doc_id each get a row.  A row without doc_id belongs to its component, whose id is
     the smallest doc_id there, or null if there is none.  Other columns are ignored."""
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
-
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = saved(slim.mapInArrow(prints, "doc_id long, fp long"), "simhash-prints")
+    marked = _printed(slim, shingle)
     links = link_fingerprints(marked, "simhash", radius)
     smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("low")).join(links.withColumnRenamed("node", "fp"), "fp", "left")
     smallest = smallest.select("fp", "low", F.coalesce("root", "fp").alias("root"))
     of_root = smallest.groupBy("root").agg(F.min("low").alias("component_id"))
     of_print = smallest.join(of_root, "root").select("fp", "component_id")
     return marked.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_component(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of `docs` for each component of `near_duplicates`: the one with the
+    smallest doc_id, rows without a doc_id last; among rows of one doc_id that with the
+    smallest hash of all columns.  Rows equal in all columns are one row."""
+    # Rows are told apart by 128 bits over all columns; a null is not the same as no column.
+    whole = [c for name in docs.columns for c in (docs[name], docs[name].isNull())]
+    keyed = docs.select(*docs.columns, F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(1), *whole).alias("_h2"))
+    marked = _printed(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                                   F.col("_h1").alias("h1"), F.col("_h2").alias("h2")), shingle)
+    links = link_fingerprints(marked, "simhash", radius)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    low = marked.groupBy("fp").agg(F.min(key).alias("low")).join(links.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = low.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low")).select(F.col("low.h1").alias("_h1"), F.col("low.h2").alias("_h2"))
+    # Equal rows fall together before they are sent, and the join keeps that order.
+    distinct = keyed.groupBy("_h1", "_h2").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return distinct.join(kept, ["_h1", "_h2"]).select("row.*")

@@ -33,3 +33,13 @@ def test_unlabelled(spark, tmp_path):
     rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate(["some words here", "日本", "!!! 12", None, "", "a"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {0, 1, 5}
+
+
+def test_near_dedup_keeps_one_row(spark, tmp_path):
+    """Null, repeated and shared doc_ids: one row of each component, whatever its key."""
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, b.upper()), (7, c), (7, c), (7, c), (9, c), (7, d), (5, d), (None, d), (8, e), (8, e.upper())]
+    docs = spark.createDataFrame([(i, t, None if i == 7 else "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), str(tmp_path)).collect()
+    assert sorted(((r.doc_id or 0), r.text.lower()) for r in got) == sorted([(0, a), (0, b), (7, c), (5, d), (8, e)])
