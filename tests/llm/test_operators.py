@@ -214,6 +214,38 @@ def test_embeddings(spark, monkeypatch):
     assert hnsw.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_links_that_no_beam_reaches():
+    """Nodes that the graph can't reach are compared; links to oneself are no evidence."""
+    x = np.random.default_rng(4).normal(size=(700, 16))
+    x[350:] = x[:350] + 0.01 * x[350:]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    for links in graph.links:
+        links[:] = -1
+    for rows in (x, x[:40]):
+        truth = rows @ x.T >= 0.93
+        for same in (True, False):
+            q, node = hnsw.links(graph, rows.astype(np.float32), x, rows, 0.93, same)
+            found = np.zeros_like(truth)
+            found[q, node] = True
+            apart = ~np.eye(*truth.shape, dtype=bool) | (not same)
+            assert (found[apart] == truth[apart]).all()
+
+
+def test_embeddings_with_rare_links(spark, monkeypatch):
+    """Several shards of thousands of nodes; one node in some hundreds has a partner."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 2000)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 48))
+    at = rng.permutation(4000)[:24]
+    x[at[12:]] = x[at[:12]] + 0.2 * rng.normal(size=(12, 48))
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n_links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df).collect()}
+    assert got == dict(enumerate(n_links.tolist())) and 10 < (n_links > 0).sum() < 40
+
+
 def test_language(spark):
     rng = random.Random(2)
     sounds = {"aa": ["ba", "ka", "lo", "mi"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["qué", "ñor", "ión", "aux"]}
