@@ -76,7 +76,7 @@ def located_tokens(units: DataFrame, all_uses: bool = True) -> DataFrame:
 
 def _interpolated() -> str:
     """Code inside a string literal, with sanitized parts removed."""
-    f_string = quoted(r"(?<!\{)\{([^{}]+)\}")
+    f_string = quoted(rf"\{{\{{|\{{({nested('{', '}')})\}}")  # a doubled brace is text
     template = quoted(rf"\$\{{({nested('{', '}')})\}}")
     sql = lang_case({
         PY: f"if(lower(regexp_extract(text, '^[A-Za-z]*', 0)) LIKE '%f%',"
@@ -85,7 +85,7 @@ def _interpolated() -> str:
     }, "null")
     for name in (PY, JS):
         names = "|".join(p.removesuffix(r"\(") for p in SANITIZERS[name])
-        call = rf"(?i)[\w$.]*(?:{names})[\w$.]*\s*\((?:[^()]|\([^()]*\))*+\)"
+        call = rf"(?i)[\w$.]*(?:{names})[\w$.]*\s*\({nested('(', ')')}\)"
         sql = f"regexp_replace({sql}, {quoted(call)}, ' ')"
     return f"if(has_src AND kind = 'str', {sql}, null)"
 

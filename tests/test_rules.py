@@ -169,3 +169,13 @@ def test_dedupe_and_rank(spark):
     ranked = report.with_rank(once).orderBy("rank").collect()
     assert [(r["rank"], r.line) for r in ranked] == [(1, 1), (2, 2), (3, 9)]
     assert [r.line for r in report.rank(once).collect()] == [1, 2, 9]
+
+
+def test_code_deep_inside_strings(findings_of):
+    """Braces inside the braces of an f-string, doubled braces, calls inside sanitizers."""
+    found = findings_of({
+        "deep.py": PYT + "os.system(f'{q:{w}}')\nos.system(f\"{q + str({'a': 1})}\")\nos.system(f'{{{q}}}')\nos.system(f'{{q}}')\n"
+                   "os.system(f'{escape(f(g(h(q))))}')\n",
+        "deep.js": JST + "document.write(`${encodeURIComponent(f(g(q)))}`);\ndocument.write(`${f(g(q))}`);\n"})
+    assert {line for line, rule in found["deep.py"] if rule == "CMDI-1"} == {2, 3, 4}
+    assert {line for line, rule in found["deep.js"] if rule == "XSS-3"} == {3}
