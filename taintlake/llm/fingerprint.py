@@ -8,7 +8,9 @@ doesn't matter, and one is added or taken away by adding or subtracting its vect
 Lanes: the number of paragraphs modulo 2^32; two sums of 30-bit values modulo 2^32;
 and 60 one-bit lanes, three to a word of 60 bits at distances of 20, whose sums
 (modulo 2^60 a word) estimate how many paragraphs two texts share: reading a bit as +1
-or -1, the inner product of two sums estimates that of the multisets."""
+or -1, the inner product of two sums estimates that of the multisets.  From 2^20 paragraphs
+in one text on, the three sums of a word may carry into each other: the fingerprint and
+its algebra stay exact, but near_edited and near_next are wrong for such a text."""
 
 from __future__ import annotations
 
