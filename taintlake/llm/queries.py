@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintlake.llm import fingerprint, hnsw, langid, packing, rlz, sharding, simhash, suffixes, unigram, warc
+from taintlake.llm import centroids, fingerprint, hnsw, langid, lyndon, packing, repeats, rlz, sharding, simhash, suffixes, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lyndon.with_periodic_tail(_table(spark, sf_dir, "documents"))
+    return lyndon.digests(lyndon.periodic_runs(docs, with_text=False))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array, op2_embedding_dedup, op3_simhash, op4_language_id, op5_packing, op6_sharding, op7_substring_dedup, op8_unigram,
-    op9_fingerprints, op10_warc)}
+    op9_fingerprints, op10_warc, op11_periodic_runs, op12_quality_rules, op13_centroids)}

@@ -1,5 +1,6 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from taintlake.llm import repeats
 from taintlake.llm.fingerprint import WORDS
 
 _BITS = ", ".join(f"list_aggregate(list_transform(a, lambda h: ((h >> {j}) & 1099512676353)::HUGEINT), 'sum')" for j in range(WORDS))
@@ -24,7 +25,70 @@ def _shown(v: str) -> str:
 
 _BASE32 = " || ".join(f"translate(to_base(('0x' || sha1(p)[{1 + 10 * i}:{10 + 10 * i}])::BIGINT, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(4))
 
+def _windows(n: int) -> str:
+    """Words of each text that lie in a window of n words found twice or more."""
+    return f"""(SELECT doc_id, count(*) AS c FROM (SELECT DISTINCT doc_id, i + j AS at FROM
+  (SELECT doc_id, i FROM (SELECT doc_id, unnest(range(1, len(w) - {n - 2})) AS i, w FROM d) QUALIFY count(*) OVER (PARTITION BY doc_id, md5(array_to_string(w[i:i + {n - 1}], ' '))) > 1),
+  range({n}) AS r(j)) GROUP BY doc_id)"""
+
+
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: "
+        "[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) "
+        "ELSE acc // 2 END), 4294967295)")
+
+
+def _clustered(rounds: int = 3) -> str:
+    """Centroids c0, c1, ... as (k, v), each from the assignment a0, a1, ... before it."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, k AS cluster, dist FROM (SELECT e.vec_id, e.v, c.k, list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+  FROM e CROSS JOIN c{i} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, k) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT cluster, j, sum(v[j]) AS total, count(*) AS n FROM a{i}, range(1, 65) AS r(j) GROUP BY cluster, j),
+m{i} AS (SELECT cluster AS k, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (k))""")
+    return ",\n".join(parts)
+
+
 ORACLES: dict[str, str] = {
+    "op11_periodic_runs": rf"""
+WITH d0 AS (SELECT doc_id, {_CRC} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+d1 AS (SELECT doc_id, h, h // 10 AS g, w, len(w) AS n FROM d0),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+  list_transform(range(n), lambda i: w[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) ELSE w END AS w FROM d1),
+t AS (SELECT doc_id, n, i, md5(array_to_string(w[i + 1:i + 3], ' ')) AS h3 FROM (SELECT doc_id, n, w, unnest(range(0, n - 2)) AS i FROM d)),
+m AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, h3) >= 3),
+p AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.h3 = b.h3 AND b.i > a.i AND (b.i - a.i) * 4 <= a.n),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS grp FROM p),
+st AS (SELECT doc_id, q, min(i) AS start, count(*) + q + 2 AS length FROM isl GROUP BY doc_id, q, grp),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM st WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS txt FROM r GROUP BY doc_id),
+top AS (SELECT doc_id, start, length, period FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.doc_id = b.doc_id AND
+  (b.length * a.period > a.length * b.period OR (b.length * a.period = a.length * b.period AND (b.start < a.start OR (b.start = a.start AND b.period < a.period)))))),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(start + period, start + length)))) AS gone FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, list(x) AS xs FROM (SELECT doc_id, unnest(gone) AS x FROM gone) GROUP BY doc_id),
+mk AS (SELECT d.doc_id, array_to_string(list(w[k + 1] ORDER BY k), ' ') AS txt FROM (SELECT d.doc_id, w, unnest(range(n)) AS k FROM d JOIN g USING (doc_id)) d
+  ANTI JOIN (SELECT doc_id, unnest(xs) AS x FROM g) z ON d.doc_id = z.doc_id AND d.k = z.x GROUP BY d.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start, top.length, top.period, 1000 * top.length // top.period AS exponent_milli,
+       sha256(coalesce(agg.txt, '')) AS runs_sha256, sha256(coalesce(mk.txt, array_to_string(d.w, ' '))) AS collapsed_sha256
+FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN mk USING (doc_id)""",
+    "op12_quality_rules": rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+r AS {_windows(3)}, c AS {_windows(repeats.MIN_REPEAT)}, x AS {_windows(repeats.MAX_REPEAT + 1)},
+f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(r.c, 0) AS n_repeat_words, coalesce(c.c, 0) AS covered, x.c IS NOT NULL AS long
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND covered <= {repeats.MAX_COVERED} * n_words AND NOT long AS kept FROM b""",
+    "op13_centroids": f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id) - 1)::INTEGER AS k, v FROM e QUALIFY k < 16),
+{_clustered()},
+t AS (SELECT *, sum(dist) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(dist) OVER ()::BIGINT AS inertia FROM a3)
+SELECT vec_id, cluster, dist AS distance, cluster_inertia, inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM t JOIN c3 ON c3.k = cluster""",
     "op2_embedding_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),

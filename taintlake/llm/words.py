@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -108,3 +109,47 @@ class Words:
             less = here < best
             best[less], where[less] = here[less], j
         return at, at + where[at]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of equal words from a[i] and from b[i] on, inside their texts: steps
+        double while spans are equal, then halve."""
+        length = np.zeros(len(a), np.int64)
+        room = np.minimum(self.first[self.text[a] + 1] - a, self.first[self.text[b] + 1] - b) if len(a) else length
+        return extend(length, room, lambda i, at, n: self.hashes(a[i] + at, n) == self.hashes(b[i] + at, n))
+
+
+def extend(length: np.ndarray, room: np.ndarray, equal) -> np.ndarray:
+    """Grow length[i] up to room[i] while equal(i, from, count) holds: steps double, then halve."""
+    active, step = np.flatnonzero(room > 0), 1
+    settle: list[tuple[int, np.ndarray]] = []
+    while len(active):
+        fits = length[active] + step <= room[active]
+        good = fits.copy()
+        good[fits] = equal(active[fits], length[active[fits]], step)
+        settle.append((step, active[~good]))
+        active = active[good]
+        length[active] += step
+        step *= 2
+    for step, _ in reversed(settle):  # a failed step of n leaves less than n to find
+        step //= 2
+        if not step:
+            continue
+        i = np.concatenate([s for n, s in settle if n > step])
+        i = i[length[i] + step <= room[i]]
+        i = i[equal(i, length[i], step)]
+        length[i] += step
+    return length
+
+
+def slices(texts: pa.Array, limit: int = 2 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows with about `limit` bytes of text each; a longer text is alone."""
+    if not len(texts):
+        return []
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    out, start, held = [], 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (held + n > limit or i - start >= 20_000):
+            out.append((start, i))
+            start, held = i, 0
+        held += n
+    return out + [(start, len(size))]
