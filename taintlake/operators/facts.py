@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taintlake.functions.patterns import lang_case, matches, may_match, quoted, widen
-from taintlake.operators.lexer import lex, nested
+from taintlake.operators.lexer import lex
 from taintlake.rules.catalog import C, CPP, JAVA, JS, PHP, PY, SANITIZERS, STRUCT_LANGS, TAINT_SOURCES
 
 CARRY = ["path", "unit_no", "out_lang", "line_offset"]
@@ -74,22 +74,6 @@ def located_tokens(units: DataFrame, all_uses: bool = True) -> DataFrame:
     ).where("kind NOT IN ('nl', 'comment')")
 
 
-def _interpolated() -> str:
-    """Code inside a string literal, with sanitized parts removed."""
-    f_string = quoted(rf"\{{\{{|\{{({nested('{', '}')})\}}")  # a doubled brace is text
-    template = quoted(rf"\$\{{({nested('{', '}')})\}}")
-    sql = lang_case({
-        PY: f"if(lower(regexp_extract(text, '^[A-Za-z]*', 0)) LIKE '%f%',"
-            f" array_join(regexp_extract_all(text, {f_string}, 1), ' '), null)",
-        JS: f"if(startswith(text, '`'), array_join(regexp_extract_all(text, {template}, 1), ' '), null)",
-    }, "null")
-    for name in (PY, JS):
-        names = "|".join(p.removesuffix(r"\(") for p in SANITIZERS[name])
-        call = rf"(?i)[\w$.]*(?:{names})[\w$.]*\s*\({nested('(', ')')}\)"
-        sql = f"regexp_replace({sql}, {quoted(call)}, ' ')"
-    return f"if(has_src AND kind = 'str', {sql}, null)"
-
-
 def _use_names() -> str:
     """Variable names read by a token, without ``$``."""
     plain = f"regexp_replace(text, {quoted(r'^new\s+')}, '')"
@@ -100,15 +84,12 @@ def _use_names() -> str:
     name = lang_case({PY: dotted, JAVA: dotted, PHP: f"regexp_extract_all({plain}, {php_name}, 1)"}, first)
     in_php = (f"if(startswith(text, '\"') OR (startswith(text, '<<<') AND NOT startswith(text, {quoted('<<<' + chr(39))})),"
               f" regexp_extract_all(text, {quoted(r'(?<!\\)\$\{?(\w+)')}, 1), null)")
-    code = f"regexp_replace(code, {quoted(r'[\w$.]+\s*\(')}, ' ')"
-    in_code = f"regexp_extract_all({code}, {quoted(r'(?<![\w$.])([A-Za-z_$][\w$]*)')}, 1)"
-    return (f"CASE kind WHEN 'name' THEN {name} WHEN 'str' THEN if(lang = '{PHP}', {in_php}, {in_code})"
-            " ELSE null END")
+    return f"CASE kind WHEN 'name' THEN {name} WHEN 'str' THEN if(lang = '{PHP}', {in_php}, null) ELSE null END"
 
 
 def _sources_split(lang: str) -> tuple[list[str], list[str], list[str]]:
     """Source patterns by anchoring: free ones, anchored ones, and those that may
-    be searched in the code inside a string."""
+    be searched in a string with variables in it."""
     free = [p for p in TAINT_SOURCES[lang] if not p.startswith("^")]
     leaf = [p for p in TAINT_SOURCES[lang] if p.startswith("^")]
     return free, leaf, free + [widen(p) for p in leaf if not p.endswith("$")]
@@ -125,7 +106,7 @@ def _neighbours(tokens: DataFrame) -> DataFrame:
     ahead = "named_struct('kind', kind, 'text', text, 'pos', pos, 'line', line)"
     beyond = f"named_struct('kind', kind, 'text', if(kind = 'str' AND lang = '{PHP}', text, null))"
     rows = tokens.selectExpr(
-        "*", f"{_interpolated()} AS code",
+        "*",
         f"lag({near}) OVER ({_FILE}) AS p", f"lag({far}, 2) OVER ({_FILE}) AS p2",
         f"lag({farther}, 3) OVER ({_FILE}) AS p3",
         f"lead({ahead}) OVER ({_FILE}) AS n", f"lead({beyond}, 2) OVER ({_FILE}) AS n2")
@@ -146,8 +127,8 @@ def _reads() -> dict[str, str]:
     for name in STRUCT_LANGS:
         f, a, i = _sources_split(name)
         free[name], leaf[name] = matches(probe, f), matches("text", a)
-        if name in (PY, JS, PHP):
-            inner[name] = matches("text" if name == PHP else "code", i)
+        if name == PHP:
+            inner[name] = matches("text", i)
     object_key = f"coalesce(lang = '{JS}' AND n.text = ':' AND p.text IN ('{{', ','), false)"
     sanitizer = lang_case({name: matches(with_paren, pats) for name, pats in SANITIZERS.items()})
     return {
@@ -213,6 +194,9 @@ def _flags() -> dict[str, str]:
         "augmented": "kind = 'assign' AND text <> '='",
         "has_target": f"kind = 'assign' AND p.kind IN ('name', 'close') AND NOT (lang = '{PY}' AND level > 0)",
         "before_paren": "n.text = '('",
+        # A string with code in it starts before a brace and ends with the last brace.
+        "opens_str": f"kind = 'str' AND n.text = '{{' AND lang IN ('{JS}', '{PY}')",
+        "closes_str": "kind = 'close' AND length(text) > 1 AND NOT coalesce(n.text = '{' AND n.kind = 'open', false)",
         "after_bracket": "kind = 'assign' AND p.text = ']'",
     }
 
@@ -250,12 +234,14 @@ def _chains(rows: DataFrame) -> DataFrame:
         "*",
         f"CAST(sum(if(call, 1, 0)) OVER ({_LEVEL} {_SO_FAR}) AS INT) AS calls_so_far",
         f"CAST(sum(if(cleans, 1, 0)) OVER ({_LEVEL} {_SO_FAR}) AS INT) AS cleans_so_far",
+        f"if(closes_str, last(if(opens_str, pos, null), true) OVER ({_LEVEL} {_SO_FAR}), null) AS string_at",
         f"if(kind = 'close', lag(if(call, named_struct('pos', pos, 'cleans', cleans), null)) OVER ({_LEVEL}), null)"
         " AS opened")
 
     # A chain's calls are those counted before the next chain on its level begins.
     done = "named_struct('calls', calls_so_far, 'cleans', cleans_so_far)"
-    end = "named_struct('pos', pos, 'uses', uses_so_far, 'chain', c.pos, 'call_open', opened.pos)"
+    end = ("named_struct('pos', pos, 'uses', uses_so_far, 'chain', c.pos, 'call_open', opened.pos,"
+           " 'string', string_at)")
     rows = rows.selectExpr(
         "*",
         f"if(chain_start, coalesce(lead(if(chain_start, {done}, null)) IGNORE NULLS OVER ({_LEVEL}),"
@@ -297,7 +283,7 @@ def _definition() -> str:
             'reads_lhs', augmented,
             'rhs', n_pos,
             'end', e.pos,
-            'literal', coalesce(n_literal > 0 AND e.pos = n_pos, false),
+            'literal', coalesce(n_literal > 0 AND (e.pos = n_pos OR e.string = n_pos), false),
             'literal_kind', if(n_literal = 1, 'str', 'num'),
             'call_open', if(e.chain = n_pos, e.call_open, null),
             'uses_lo', uses_so_far, 'uses_hi', e.uses, 'cover', cover, 'clean', clean), null)"""

@@ -5,6 +5,9 @@ is ``blanks + token`` so that joining pieces gives the text back.  A dotted name
 (``request.args.get``) is one token, as are a comment and a whole string, which
 keeps the table small and lets source patterns see the name they expect.
 
+Code inside a string (JavaScript templates, Python f-strings) is cut like other code,
+level by level, and sits between braces in the same row of pieces.
+
 Only possessive or lazy single-character loops are used: grouped greedy loops
 overflow the stack of the Java matcher on long tokens.
 """
@@ -34,17 +37,20 @@ _GENERIC = r"<[\w\s,.?<>\[\]]*>(?=\s*\()"
 _CONTINUED = r"\\\r?\n"
 
 
-NESTING = 6
+# Code in a string ends at the bracket that matches its first one.  The dialect has no
+# recursion, so the pattern is unrolled: to SHALLOW levels as a literal, and for a text
+# whose braces nest deeper to as many levels as it has, in steps of two so that few
+# patterns occur.  DEEPEST keeps a hostile text from overflowing the matcher's stack.
+SHALLOW, DEEPEST = 6, 512
+_CODE = "\x00code\x00"  # stands for the code in a string until the depth is known
+_JS_INNER = "[^{}`]|`[^`]*+`"  # a template in a template takes its braces along
+_PY_INNER = "[^{}]"
 
 
-def nested(left: str, right: str, whole: str = "", stop: str = "") -> str:
-    """What a pair of brackets may hold: brackets nest up to NESTING levels, as the
-    dialect has no recursion.  ``whole`` is an alternative, ``stop`` must be in one."""
-    a, b = f"\\{left}", f"\\{right}"
-    plain = f"[^{a}{b}{stop}]" + (f"|{whole}" if whole else "")
+def _unrolled(plain: str, levels: int) -> str:
     inner = f"(?:{plain})*+"
-    for _ in range(NESTING):
-        inner = f"(?:{plain}|{a}{inner}{b})*+"
+    for _ in range(levels):
+        inner = f"(?:{plain}|\\{{{inner}\\}})*+"
     return inner
 
 
@@ -55,15 +61,16 @@ def _name(connector: str, word: str = _WORD, new: bool = False) -> str:
 
 _PHP_WORD = r"\$*+[A-Za-z_\x{80}-\x{10FFFF}][\w\x{80}-\x{10FFFF}]*+"
 _PHP_NAME = _name(r"\?->|->|::", rf"(?:\\?(?:\w++\\)*+{_PHP_WORD})", new=True)
-_JS_TEMPLATE = (rf"`(?:[^`\\$]|\\(?s:.)|\$(?!\{{)|\$\{{{nested('{', '}', '`[^`]*+`', '`')}\}})*+`"
-                r"|`(?:[^`\\]|\\(?s:.))*+`?")
+_JS_TEMPLATE = rf"`(?:[^`\\$]|\\(?s:.)|\$(?!\{{)|\$\{{{_CODE}\}})*+`" r"|`(?:[^`\\]|\\(?s:.))*+`?"
 # Matches start where the last one ended, so what is before the blanks decides.
 _JS_REGEX = (rf"(?<=[=(,:\[!&|?{{}};+\n]|\breturn){_BLANKS}"
              r"/(?![*/])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*+\])++/[a-z]*+")
+_PY_CODE = rf"\{{\{{|\\N\{{[^{{}}\r\n]*+\}}|\{{{_CODE}\}}"
+_PY_F = "|".join(rf"(?i:f|fr|rf){q}(?:{_PY_CODE}|[^{q}\\\r\n{{]|\\(?s:.))*+{q}" for q in "\"'")
 _PY_TRIPLE = r'"""(?s:.*?)(?:"""|\z)' + r"|'''(?s:.*?)(?:'''|\z)"
 
 _ALTERNATIVES = {
-    PY: [_NL, _CONTINUED, r"#[^\r\n]*+", rf"(?i:[rbuf]{{1,2}})?(?:{_PY_TRIPLE}|{_DQ}|{_SQ})", _NUMBER, r"\.{3}",
+    PY: [_NL, _CONTINUED, r"#[^\r\n]*+", rf"(?i:[rbuf]{{1,2}})?(?:{_PY_TRIPLE})", _PY_F, rf"(?i:[rbuf]{{1,2}})?(?:{_DQ}|{_SQ})", _NUMBER, r"\.{3}",
          _name(r"\."), _ASSIGN, _COMPARE, _OPERATOR],
     JS: [_NL, _LINE_COMMENT, _BLOCK_COMMENT, _JS_TEMPLATE, _DQ, _SQ, _NUMBER, r"\.{3}",
          _name(r"\?\.|\.", new=True), _ASSIGN, _COMPARE, _OPERATOR],
@@ -105,12 +112,79 @@ PHP_OUTPUT = ["echo", "print"]
 PHP_INCLUDE = ["include", "include_once", "require", "require_once"]
 
 
+#: Text before some code in a string, and the code; and what ends the code without being
+#: part of it: blanks, and a conversion or a plain format of a Python replacement field.
+_SPLIT = {JS: rf"((?:[^\\$]|\\(?s:.)|\$(?!\{{))*+)(?:\$\{{({_CODE})\}}|\z)",
+          PY: rf"((?:\{{\{{|\}}\}}|\\N\{{[^{{}}\r\n]*+\}}|[^{{}}])*+)(?:\{{({_CODE})\}}|\z)"}
+_REST = {JS: r"[ \t\f]*+\z", PY: r"[ \t\f]*+(?:![rsa])?(?::[^\[\](){}'\":]*+)?[ \t\f]*+\z"}
+_INNER = {JS: _JS_INNER, PY: _PY_INNER}
+#: What a text must hold for any of its strings to hold code.
+_MAY_HOLD_CODE = {JS: "contains(content, '`') AND contains(content, '${')", PY: "contains(content, '{') AND content RLIKE '(?i)f[\"\\']'"}
+_OPENS = {JS: r"^[ \t\f]*+`(?s:.)*?\$\{", PY: r"^[ \t\f]*+(?i:f|fr|rf)[\"'][^{]*+\{"}
+
+
+def _depth(lang: str) -> str:
+    """Levels to unroll for a text: 0 if none of its strings holds code, SHALLOW if its
+    braces nest no deeper.  Pairs are taken out of the text's bare braces from the inside."""
+    braces = "regexp_replace(content, '[^{}]++', '')"
+    peeled = "replace(s.b, '{}', '')"
+    depth = f"""aggregate(sequence(1, {DEEPEST}), named_struct('b', {braces}, 'n', 0),
+        (s, i) -> if(length({peeled}) = length(s.b), s, named_struct('b', {peeled}, 'n', i)), s -> s.n)"""
+    return f"""CASE WHEN NOT ({_MAY_HOLD_CODE[lang]}) THEN 0
+        ELSE element_at(transform(array({depth}), d -> if(d <= {SHALLOW}, {SHALLOW}, CAST(least({DEEPEST}, pow(2, ceil(log2(d)))) AS INT))), 1) END"""
+
+
+def depth() -> Column:
+    return F.expr(lang_case({name: _depth(name) for name in (JS, PY)}, "0"))
+
+
+def _all_matches(sql: str, regex: str, group: int, lang: str) -> str:
+    """``regexp_extract_all`` of a pattern that may hold code, by the row's ``depth``."""
+    if _CODE not in regex:
+        return f"regexp_extract_all({sql}, {quoted(regex)}, {group})"
+    plain = _INNER[lang]
+    code = f"""aggregate(sequence(1, depth), {quoted(f'(?:{plain})*+')}, (r, i) -> concat({quoted(f'(?:{plain}|' + chr(92) + '{')}, r, {quoted(chr(92) + '})*+')}))"""
+    deep = f"replace({quoted(regex.replace(_CODE, '<code>'))}, '<code>', {code})"
+    plain_regex = regex.replace(_CODE, _unrolled(plain, SHALLOW))
+    return f"if(depth <= {SHALLOW}, regexp_extract_all({sql}, {quoted(plain_regex)}, {group}), regexp_extract_all({sql}, {deep}, {group}))"
+
+
+def _opened(lang: str) -> str:
+    """Pieces with the code of strings cut in turn, a level of strings each round until
+    none is left.  Text before code is a string piece, the code is in braces of its own,
+    and text after it is one piece with the brace that closes the code."""
+    mark = "$" if lang == JS else ""  # stands before the brace
+    inner = _all_matches("concat('{', left(c, length(c) - length(r)))", LEX[lang], 0, lang)
+    # A conversion or format is a piece of its own; blanks go to the brace behind them.
+    code = f"""element_at(transform(array(regexp_extract(c, {quoted(_REST[lang])}, 0)), r -> concat(
+        {inner}, if(trim(r) = '', array(), array(r)))), 1)"""
+    blanks = f"element_at(transform(array(regexp_extract(codes[i - 1], {quoted(_REST[lang])}, 0)), r -> if(trim(r) = '', r, '')), 1)"
+    part = f"""concat(array(concat(if(i = 0, '', concat({blanks}, '}}')), t, if(i < n, '{mark}', ''))),
+        if(i < n, element_at(transform(array(codes[i]), c -> {code}), 1), array()))"""
+    # The last match is the rest of the string; one more empty match may follow it.
+    parts = f"""flatten(transform(slice(texts, 1, n + 1), (t, i) -> {part}))"""
+    bind = f"""element_at(transform(array({_all_matches('p', _SPLIT[lang], 1, lang)}), texts -> element_at(transform(array(
+        {_all_matches('p', _SPLIT[lang], 2, lang)}), codes -> element_at(transform(array(
+        size(filter({_all_matches('p', _SPLIT[lang], 0, lang)}, (w, i) -> length(w) > length(texts[i])))),
+        n -> if(n = 0, array(p), {parts})), 1)), 1)), 1)"""
+    opened = f"flatten(transform(s.pieces, p -> if(p RLIKE {quoted(_OPENS[lang])}, {bind}, array(p))))"
+    step = f"element_at(transform(array({opened}), q -> named_struct('pieces', q, 'done', size(q) = size(s.pieces))), 1)"
+    rounds = "sequence(1, length(content) - length(replace(content, '{', '')))"  # a round opens a brace at least
+    start = "named_struct('pieces', pieces, 'done', false)"
+    return f"if(depth = 0, pieces, aggregate({rounds}, {start}, (s, k) -> if(s.done, s, {step}), s -> s.pieces))"
+
+
 def pieces() -> Column:
-    """Array of consecutive pieces of ``content``, by ``lang``."""
-    return F.expr(lang_case({name: f"regexp_extract_all(content, {quoted(regex)}, 0)" for name, regex in LEX.items()},
+    """Array of consecutive pieces of ``content``, by ``lang`` and ``depth``."""
+    return F.expr(lang_case({name: _all_matches("content", regex, 0, name) for name, regex in LEX.items()},
                             "CAST(array() AS ARRAY<STRING>)"))
 
 
+def with_code_of_strings() -> Column:
+    """``pieces`` with the code in strings as pieces like others."""
+    return F.expr(lang_case({name: _opened(name) for name in (JS, PY)}, "pieces"))
+
+
 def kind_of() -> Column:
     """Kind of a token ``text`` without its blanks, from its first characters
     ``head`` and ``head2`` and its last one ``tail``."""
@@ -129,12 +203,15 @@ def kind_of() -> Column:
         WHEN ({first} = '#' AND lang IN ('{PY}', '{PHP}', '{C}', '{CPP}'))
              OR ({first2} = '//' AND lang <> '{PY}' AND text <> '//=') OR ({first2} = '/*' AND lang <> '{PY}')
              OR ({first} = {quoted(chr(92))} AND {last} = {quoted(chr(10))}) THEN 'comment'
+        WHEN lang = '{PY}' AND {first} IN (':', '!') THEN 'op'
         WHEN lang = '{PHP}' AND {first2} = '<?' THEN if(text = '<?=', 'echo', 'sep')
         WHEN lang = '{PHP}' AND ({first2} = '?>' OR ({first} = '<' AND length(text) > 3 AND {first2} <> '<<')) THEN 'sep'
         WHEN {quotes.format(first)} OR (lang = '{PHP}' AND startswith(text, '<<<')) THEN 'str'
         WHEN {first} BETWEEN '0' AND '9' OR ({first} = '.' AND substring(text, 2, 1) BETWEEN '0' AND '9') THEN 'num'
         WHEN lang = '{JS}' AND {first} = '/' AND length(text) > 1 AND {last} <> '=' THEN 'regex'
         WHEN {quotes.format(last)} THEN 'str'
+        WHEN lang = '{PY}' AND ({quotes.format("substring(text, 2, 1)")} OR {quotes.format("substring(text, 3, 1)")})
+             AND lower({first}) IN ('f', 'r') THEN 'str'
         WHEN {last} = '=' AND text NOT IN ('==', '===', '!=', '!==', '<=', '>=') THEN 'assign'
         WHEN {first} = '<' AND length(text) > 1 AND {last} = '>' AND lang IN ('{JAVA}', '{CPP}') THEN 'generic'
         WHEN {word_end} THEN CASE WHEN {keyword} THEN 'kw'
@@ -151,7 +228,7 @@ def lex(units: DataFrame, carry: list[str]) -> DataFrame:
     holds that array and the columns named in ``carry``, so the text travels
     once per file and not once per token.
     """
-    cut = units.withColumn("pieces", pieces())
+    cut = units.withColumn("depth", depth()).withColumn("pieces", pieces()).withColumn("pieces", with_code_of_strings())
     head = F.col("pos") == 0
     rows = cut.select("file_id", "lang", "has_src", *carry, "pieces",
                       F.posexplode(F.concat(F.array(F.lit("")), F.col("pieces"))).alias("pos", "piece"))

@@ -12,6 +12,8 @@ TEXTS = [
     ("php", '<html><?php $a .= $_GET["n"]; echo $this->db->query("x $a"); $x = <<<EOT\nhi\n  EOT;\n?> tail'),
     ("java", 'List<String> a = new ArrayList<Map<String,X>>(b); String s = "x\\"y"; foo::bar; // c'),
     ("c", "#include <x.h>\n#define X(a) \\\n strcpy(a)\nint main(int c, char **v) {\n p->q = L\"x\";}"),
+    ("javascript", "a = `x${`y${ {z: `${1} '` } }` }$ ` + `\\${b}`; c = `${d}${e}`"),
+    ("python", "a = f'{b!r:>{w}} {{c}}' + rf\"{d[\"e\"] :%Y}\" + f'{f'{g}'}'\nh = f\"\"\"i {j}\n{ k }\"\"\""),
     ("cpp", 'auto x = R"d(a)" )d"; std::cin >> y; a <<= 2;'),
 ]
 

@@ -1,6 +1,7 @@
 """Shapes around assignments and calls that once hid facts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 CASES = {
     "def.py": ("def g():\n    pass\napi_key = 'abcdefgh'\nq = input()\nos.system(q)", {(3, "SECRET-1"), (5, "CMDI-1")}),
@@ -21,6 +22,19 @@ CASES = {
     "far.php": ("$c = file_get_contents(\n" + " " * 45 + "'php://input');\nsystem($c);", {(3, "CMDI-1")}),
     "regex.js": ("const r =         /[\"']/;\nconst q = req.query.q;\ndocument.write(q);", {(3, "XSS-3")}),
     "deep.js": ("const q = req.query.q;\ndocument.write(`${f({a: {b: q}})}`);", {(2, "XSS-3")}),
+    # Code in strings, at any depth and beside text that looks like code.
+    "objects.js": ("const q = req.query.q;\ndocument.write(`${a({x:{x:{x:{x:{x:{x:{x:q}}}}}}})}`);", {(2, "XSS-3")}),
+    "templates.js": ("const q = req.query.q;\ndocument.write(" + "`it's ${" * 30 + "q" + "} isn't`" * 30 + ");", {(2, "XSS-3")}),
+    "siblings.js": ("const q = req.query.q;\nconst a = `${1}${`${2} \"`}`, b = `${a}${`${q}`}`;\ndocument.write(a);\ndocument.write(b);", {(4, "XSS-3")}),
+    "clean.js": ("const q = req.query.q;\ndocument.write(`${`${encodeURI(f({a: {b: `${q}`}}))}`}`);", set()),
+    "escaped.js": ("const q = req.query.q;\ndocument.write(`\\${q} $ {q} {q}`);\ndocument.write(q);", {(3, "XSS-3")}),
+    "calls.js": ("x = `a ${eval(`b`)} c`;\ny = `a ${1\n} c`\nz = eval(y)", {(1, "EVAL-1"), (4, "EVAL-1")}),
+    "open.js": ("const q = req.query.q;\ndocument.write(q);\nx = `${ {", {(2, "XSS-3")}),
+    "hundred.js": ("const q = req.query.q;\ndocument.write(`${" + "[{x:" * 150 + "q" + "}]" * 150 + "}`);", {(2, "XSS-3")}),
+    "fields.py": ("q = input()\nos.system(" + "f'{" * 25 + "q" + "}'" * 25 + ")\nos.system(f'{\"a\"}')", {(2, "CMDI-1")}),
+    "quotes.py": ('q = input()\nos.system(f"{d["k"]} {q}")\nos.system(f"{{q}}" + "{q}")\nos.system(rf"\\d{{2}} {1!r:>{3}}")', {(2, "CMDI-1")}),
+    "spec.py": ("r = input()\nq = 1\nos.system(f'{q!r}')\nos.system(f'{q:r}')\nos.system(f'{q:{r}}')", {(5, "CMDI-1")}),
+    "literal.py": ("api_key = f'abc{x}def'\ntoken = f'abc{x}' + y\npassword = f'''pq{x}\n{y}rs'''", {(1, "SECRET-1"), (3, "SECRET-1")}),
 }
 
 
@@ -48,3 +62,14 @@ def test_uses_without_a_source(spark):
     df = spark.createDataFrame([("a.py", "python", "x = 1\ny = x\nprint(x)")], "path string, lang string, content string")
     got = {(r.line, r.var, r.def_line) for r in views.reached_uses(facts.file_facts(facts.as_units(df))).collect()}
     assert got == {(2, "x", 1), (3, "x", 1)}
+
+
+def test_hostile_nesting_ends(spark):
+    """Braces beyond DEEPEST are left in their string; nothing fails and the rest is read."""
+    from taintlake.operators import facts, lexer
+
+    deep = "`${" + "{" * 5_000 + "q" + "}" * 5_000 + "}`; done(1)"
+    df = spark.createDataFrame([("a.js", "javascript", deep), ("b.py", "python", "f'" + "{" * 9_999 + "'")], "path string, lang string, content string")
+    rows = lexer.lex(facts.as_units(df).withColumn("has_src", F.lit(True)), ["path", "content"]).where("pos = 0").collect()
+    assert all("".join(r.pieces) == r.unit.content for r in rows)
+    assert [r.pieces[-4:] for r in rows if r.unit.path == "a.js"] == [[" done", "(", "1", ")"]]

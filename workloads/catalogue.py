@@ -20,6 +20,10 @@ _SHAPES = [
     ("SECRETSCAN-Private_Key_Block", "-----BEGIN RSA PRIVATE" + " KEY-----"),
     ("SECRETSCAN-JSON_Web_Token", "ey" + "J" + "a" * 10 + ".ey" + "J" + "b" * 10 + "." + "c" * 10),
 ]
+# Code in strings, twenty levels deep.
+_TEMPLATES = "`${" * 20 + "q" + "}`" * 20
+_OBJECTS = "f({x:" * 20 + "q" + "})" * 20
+_FIELDS = "f'{" * 20 + "q" + "}'" * 20
 FILES: list[tuple[str, str, str, list[tuple]]] = [
     (".py", "python", "def g():\n    pass\napi_key = 'abcdefgh'\nq = input()\nos.system(q)\n",
      [(3, "SECRET-1", "api_key = 'abcdefgh'"), (5, "CMDI-1", "os.system(q)")]),
@@ -80,6 +84,12 @@ FILES: list[tuple[str, str, str, list[tuple]]] = [
      "const otp = Math.random();\nconst dice = Math.random();\nObject.assign({}, q);\n",
      [(3, "XSS-3", "document.write(q)"), (4, "XSS-3", "document.write(`${f({a: {b: q}})}`)"), (6, "RAND-1", "otp = Math.random()"),
       (8, "PROTOPOLLUTE-1", "Object.assign({}, q)")]),
+    (".js", "javascript", f"const q = req.query.q;\ndocument.write({_TEMPLATES});\ndocument.write(`${{{_OBJECTS}}} it's`);\ndocument.write(`${{`${{encodeURI(q)}}`}}`);\n"
+     "x = `${eval(1)} isn't`;\nconst password = `pw ${1} it`\nlet p = `${q}`;\nlet s = `q`;\ndocument.write(s);\ndocument.write(p);\n",
+     [(2, "XSS-3", f"document.write({_TEMPLATES})"), (3, "XSS-3", f"document.write(`${{{_OBJECTS}}} it's`)"), (5, "EVAL-1", "eval(1)"),
+      (6, "SECRET-1", "password = `pw ${1} it`"), (10, "XSS-3", "document.write(p)")]),
+    (".py", "python", f"q = input()\nos.system({_FIELDS})\nos.system(f'{{escape(q)}} {{q!r:>3}}')\nos.system(f'{{{{q}}}} {{1:{{2}}}}')\nos.system(f\"{{d['a']}}{{w:{{q}}}}\")\n",
+     [(2, "CMDI-1", f"os.system({_FIELDS})"), (3, "CMDI-1", "os.system(f'{escape(q)} {q!r:>3}')"), (5, "CMDI-1", "os.system(f\"{d['a']}{w:{q}}\")")]),
 ]
 
 
