@@ -1,16 +1,19 @@
 """Structural detectors: facts and taint to rule hits.
 
 ``file_facts`` leaves one row per file.  Taint is a gen/kill pass in document
-order, so it is a fold over the file's own facts; a loop of joins would need as
-many rounds as the longest chain of assignments in the whole corpus.  Rules are
-literal conditions over the exploded candidates.
+order over the file's own facts; a loop of joins would need as many rounds as the
+longest chain of assignments in the whole corpus.  Rules are literal conditions
+over the exploded candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from taintlake.functions import text
 from taintlake.functions.patterns import lang_case, matches, may_match, one_of, quoted, widen
@@ -114,37 +117,58 @@ def _text_of(e: Column) -> Column:
     return _cut(e["start"], e["to"])
 
 
-def tainted_events(events: Column, wanted) -> Column:
-    """Indexes (from 1) of the wanted events whose context is tainted.
-
-    One pass in document order.  A context is tainted if it holds a source
-    outside a nested sanitizer, or reads a tainted variable that lies neither in
-    a nested sanitizer nor in the receiver of a nested call.  An assignment to a
-    plain variable sets or clears it; an augmented one also reads it.
-    """
-    def hit(e: Column, names: Column) -> Column:
+def _effects(events: Column, wanted) -> Column:
+    """What an event does to a file's tainted names: the plain variable it assigns, whether
+    its context holds a source outside a nested sanitizer, and the variables it reads that
+    lie neither in a nested sanitizer nor in the receiver of a nested call.  An augmented
+    assignment also reads its target."""
+    def effect(e: Column) -> Column:
         inside = F.filter(F.slice("uses", e["uses_lo"] + 1, F.greatest(e["uses_hi"] - e["uses_lo"], F.lit(0))),
                           lambda u: u["clean"] == e["clean"])
         source = F.exists(inside, lambda u: (u["src"] == 1) | ((u["src"] == 2) & (u["leaf_cover"] == e["cover"])))
         reads = F.flatten(F.transform(F.filter(inside, lambda u: u["cover"] == e["cover"]), lambda u: u["names"]))
-        own = e["reads_lhs"] & e["var"].isNotNull() & F.array_contains(names, e["var"])
-        return source | F.coalesce(own, F.lit(False)) | ((F.size(names) > 0) & F.arrays_overlap(reads, names))
-
-    def step(state: Column, e: Column) -> Column:
-        # A one-element transform binds the verdict so that it is computed once.
-        def with_verdict(v: Column) -> Column:
-            names = (F.when(e["kind"] != "define", state["names"])
-                     .when(v, F.array_union(state["names"], F.array(e["var"])))
-                     .otherwise(F.array_remove(state["names"], e["var"])))
-            return F.struct(names.alias("names"), (state["i"] + 1).alias("i"),
-                            F.when(v & wanted(e), F.array_append(state["hits"], state["i"] + 1))
-                            .otherwise(state["hits"]).alias("hits"))
-        verdict = F.coalesce(hit(e, state["names"]), F.lit(False))
-        return F.element_at(F.transform(F.array(verdict), with_verdict), 1)
-
-    start = F.struct(F.array().cast("array<string>").alias("names"), F.lit(0).alias("i"),
-                     F.array().cast("array<int>").alias("hits"))
-    return F.aggregate(events, start, step, lambda s: s["hits"])
+        own = F.when(e["reads_lhs"] & e["var"].isNotNull(), F.array(e["var"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(e["kind"] == "define", e["var"]).alias("sets"), (e["kind"] == "define").alias("defines"),
+                        wanted(e).alias("wanted"), F.coalesce(source, F.lit(False)).alias("source"), F.concat(reads, own).alias("reads"))
+    return F.transform(events, effect)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _flow(files: pa.Array) -> pa.Array:
+    """Numbers (from 1) of the wanted events with a tainted context, file by file.  Verdicts
+    depend on each other in document order, which built-in functions can only fold over
+    arrays that they copy at each step; a set is kept here instead."""
+    steps = files.flatten()
+    columns = [steps.field(c).to_pylist() for c in ("sets", "defines", "wanted", "source", "reads")]
+    rows = zip(*columns, strict=True)
+    out = []
+    for n in pc.fill_null(pc.list_value_length(files), 0).to_pylist():
+        tainted: set[str] = set()
+        hits = []
+        for i, (name, defines, wanted, source, reads) in enumerate(islice(rows, n), 1):
+            hit = source or not tainted.isdisjoint(reads)
+            if hit and wanted:
+                hits.append(i)
+            if defines:
+                (tainted.add if hit else tainted.discard)(name)
+        out.append(hits)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def with_hits(rows: DataFrame, wanted) -> DataFrame:
+    """Add ``hits``: indexes (from 1) of the wanted ``events`` whose context is tainted, by
+    one pass in document order that is linear in the events.  An assignment to a plain
+    variable sets or clears it.  Files without a source have no such event."""
+    # Effects are named twice, which keeps their nested lambdas out of the arguments of
+    # the Python function: the optimizer can't evaluate them there.
+    rows = rows.withColumn("effects", F.when(F.col("has_src"), _effects(F.col("events"), wanted)))
+    return rows.withColumn("hits", _flow(F.when(F.size("effects") > 0, F.col("effects")))).drop("effects")
+
+
+def at_hits(event) -> Column:
+    """``event`` of each hit's number.  The size is asked first, as Spark would otherwise
+    put the Python function into this expression, where it can't run."""
+    return F.when(F.size("hits") > 0, F.transform("hits", event))
 
 
 def with_events(facts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -170,9 +194,8 @@ def candidates(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     tainted, once more with ``tainted`` set."""
     rows = with_events(facts, rules)
     needs_taint = any(r.requires_taint for r in rules)
-    hits = (F.when(F.col("has_src"), tainted_events(F.col("events"), lambda e: e["kind"] != "define"))
-            .otherwise(F.array().cast("array<int>")) if needs_taint else F.array().cast("array<int>"))
-    rows = rows.withColumn("hits", hits)
+    if needs_taint:
+        rows = with_hits(rows, lambda e: e["kind"] != "define")
 
     def out(e: Column, i: Column, tainted: bool) -> Column:
         return F.struct(
@@ -183,8 +206,10 @@ def candidates(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     plain = F.filter(F.transform("events", lambda e, i: F.struct(e.alias("e"), (i + 1).alias("i"))), lambda x:
                      (x["e"]["kind"] == "call") | x["e"]["literal"].isNotNull()
                      | ((x["e"]["kind"] == "define") & x["e"]["callee"].isNotNull()))
-    found = F.concat(F.transform(plain, lambda x: out(x["e"], x["i"], False)),
-                     F.transform("hits", lambda i: out(F.element_at("events", i), i, True)))
+    found = F.transform(plain, lambda x: out(x["e"], x["i"], False))
+    if needs_taint:
+        hits = at_hits(lambda i: out(F.element_at("events", i), i, True))
+        found = F.concat(found, F.when(hits.isNotNull(), hits).otherwise(F.slice(found, 1, 0)))
     rows = rows.select("path", "unit_no", "lang", "out_lang", "line_offset", F.explode(found).alias("x"))
     return rows.select("path", "unit_no", "lang", "out_lang",
                        (F.col("line_offset") + F.col("x.line")).alias("line"),

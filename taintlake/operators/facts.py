@@ -306,7 +306,8 @@ def file_facts(units: DataFrame, all_uses: bool = True) -> DataFrame:
         'src', src, 'cover', cover, 'leaf_cover', cover - {own}, 'clean', clean), null)"""
     return (rows.groupBy("file_id")
             .agg(F.first("lang").alias("lang"), F.first("has_src").alias("has_src"),
-                 F.first("unit", True).alias("unit"), F.first("pieces", True).alias("pieces"),
+                 # One row has them.  ``first`` would copy the array for each token of the file.
+                 F.get(F.collect_list("unit"), F.lit(0)).alias("unit"), F.get(F.collect_list("pieces"), F.lit(0)).alias("pieces"),
                  F.max("uses_so_far").alias("n_uses"),
                  F.sort_array(F.collect_list(F.expr(call))).alias("calls"),
                  F.sort_array(F.collect_list(F.expr(_definition()))).alias("defs"),
