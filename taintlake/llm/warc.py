@@ -4,13 +4,21 @@ The reader plans one partition per group of files, takes filters on the record t
 on header fields, reads the header of each record first, and seeks past payloads that a
 filter or the option `payload=false` makes unneeded.
 
+A record that cannot be read is a row with only a `reject_reason` (and the header fields
+that were read), and reading goes on at the next record: a header without end or with a
+length that is no number, a record that is cut off, a response without an HTTP header.
+A gzip stream that breaks ends its file with such a row.
+
 The writer needs no Python: a record is a header and a block, both text, and records end
 in an empty line, which is what Spark's text writer puts after each row.  So archives
-can go to any file system Spark knows."""
+can go to any file system Spark knows.  They are gzipped by default.  Record ids follow
+from page_id and payload, so a task that runs again writes the same, and a revisit can
+name its response."""
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,12 +30,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from taintlake.plans.storage import shared_dir
 
 PARTITION_BYTES = 64 << 20
+MAX_HEADER = 1 << 20
 #: Column of the data source and the header field that holds it.
 FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest",
           "refers_to": "warc-refers-to", "page_id": "x-page-id", "refers_to_page": "x-refers-to-page", "payload_length": "x-payload-length"}
 _LONG = {"page_id", "refers_to_page", "payload_length"}
-SCHEMA = ", ".join(f"{c} {'long' if c in _LONG else 'string'}" for c in FIELDS) + ", payload binary"
-_ARROW = pa.schema([(c, pa.int64() if c in _LONG else pa.string()) for c in FIELDS] + [("payload", pa.binary())])
+SCHEMA = ", ".join(f"{c} {'long' if c in _LONG else 'string'}" for c in FIELDS) + ", payload binary, reject_reason string, scanned boolean"
+_ARROW = pa.schema([(c, pa.int64() if c in _LONG else pa.string()) for c in FIELDS] + [("payload", pa.binary()), ("reject_reason", pa.string()), ("scanned", pa.bool_())])
 
 
 class Files(InputPartition):
@@ -58,6 +67,8 @@ class WarcReader(DataSourceReader):
         for f in filters:
             kind = kinds.get(type(f))
             column = getattr(f, "attribute", ("",))
+            if kind and column == ("scanned",):
+                continue
             if kind and len(column) == 1 and column[0] in FIELDS:
                 self.tests.append((column[0], kind, getattr(f, "value", None)))
             else:
@@ -103,6 +114,10 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
+class _Bad(Exception):
+    """A record that cannot be read."""
+
+
 class _Buffer:
     """Lines, exact reads and skips over a stream, a mebibyte at a time."""
 
@@ -110,7 +125,11 @@ class _Buffer:
         self.raw, self.seekable, self.data, self.at = raw, seekable, b"", 0
 
     def _more(self) -> bool:
-        fresh = self.raw.read(1 << 20)
+        try:
+            fresh = self.raw.read(1 << 20)
+        except (OSError, EOFError, zlib.error) as error:
+            self.raw = _Ended()
+            raise _Bad(f"stream: {error}") from error
         self.data, self.at = self.data[self.at:] + fresh, 0
         return bool(fresh)
 
@@ -124,17 +143,26 @@ class _Buffer:
         seen = self.at
         while (end := self.data.find(b"\r\n\r\n", seen)) < 0:
             seen = max(0, len(self.data) - self.at - 3)
-            if not self._more():
-                raise ValueError("WARC header without end")
+            if len(self.data) - self.at > MAX_HEADER or not self._more():
+                raise _Bad("header without end")
         head = self.data[self.at:end]
         self.at = end + 4
         return head
 
+    def resume(self) -> None:
+        """Go on at the next line that starts a record, or at the end."""
+        while (found := self.data.find(b"\r\nWARC/", self.at)) < 0:
+            self.at = max(self.at, len(self.data) - 6)
+            if not self._more():
+                self.at = len(self.data)
+                return
+        self.at = found + 2
+
     def take(self, n: int) -> bytes:
         parts, left = [], n
         while left:
             if self.at >= len(self.data) and not self._more():
-                raise ValueError("WARC record is cut off")
+                raise _Bad("record is cut off")
             parts.append(self.data[self.at:self.at + left])
             self.at += len(parts[-1])
             left -= len(parts[-1])
@@ -144,34 +172,70 @@ class _Buffer:
         here = min(n, len(self.data) - self.at)
         self.at += here
         if n > here and self.seekable:
-            self.raw.seek(self.raw.tell() + n - here)
+            to = self.raw.tell() + n - here
+            if to > self.raw.size():
+                self.raw.seek(self.raw.size())
+                raise _Bad("record is cut off")
+            self.raw.seek(to)
         elif n > here:
-            self.take(n - here)
+            left = n - here
+            while left:  # inflated, but not kept
+                left -= len(self.take(min(left, 1 << 20)))
+
+
+class _Ended:
+    def read(self, n: int) -> bytes:
+        return b""
 
 
 def _records(raw, wanted, payload: bool, seekable: bool) -> Iterator[dict]:
     buffer = _Buffer(raw, seekable)
-    while (head := buffer.header()) is not None:
-        first, *lines = head.decode("utf-8", errors="replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record: {first[:40]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        row = {c: fields.get(f) for c, f in FIELDS.items()}
-        for c in _LONG:
-            row[c] = int(row[c]) if row[c] else None
-        row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
-        row["payload"] = None
-        length = int(fields.get("content-length", 0))
-        if not wanted(row):
-            buffer.skip(length)
-        elif not payload or row["record_type"] == "revisit":
-            buffer.skip(length)
-            yield row
-        else:
-            block = buffer.take(length)
-            if fields.get("content-type", "").startswith("application/http"):
-                block = block.partition(b"\r\n\r\n")[2]
-            yield row | {"payload": block}
+    while True:
+        row = dict.fromkeys((*FIELDS, "payload", "reject_reason")) | {"scanned": True}
+        try:
+            head = buffer.header()
+            if head is None:
+                return
+            length, http = _fields(head, row)
+            if not wanted(row):
+                buffer.skip(length)
+                continue
+            if not payload or row["record_type"] == "revisit":
+                buffer.skip(length)
+            else:
+                block = buffer.take(length)
+                if http:
+                    top, end, block = block.partition(b"\r\n\r\n")
+                    if not end:
+                        raise _Bad("HTTP block without header end")
+                row["payload"] = block
+        except _Bad as error:
+            row["reject_reason"] = str(error)
+            try:
+                if not str(error).startswith("HTTP"):  # that block has been read whole
+                    buffer.resume()
+            except _Bad:
+                pass  # the stream broke; what is left of it is empty
+            if not wanted(row):
+                continue
+        yield row
+
+
+def _fields(head: bytes, row: dict) -> tuple[int, bool]:
+    """Fill a row from a header; the length of the block, and whether it is HTTP."""
+    first, *lines = head.decode("utf-8", errors="replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise _Bad(f"no WARC record: {first[:40]!r}")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    for c, f in FIELDS.items():
+        row[c] = fields.get(f)
+        if c in _LONG and row[c] is not None:
+            row[c] = int(row[c]) if row[c].isascii() and row[c].removeprefix("-").isdigit() and abs(int(row[c])) < 1 << 63 else None
+    row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        raise _Bad(f"content length {length[:40]!r}")
+    return int(length), fields.get("content-type", "").startswith("application/http")
 
 
 def base32_sha1(data: Column) -> Column:
@@ -181,7 +245,7 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.upper(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32)), 8, "0") for i in range(4)]), digits, letters)
 
 
-def write_pages(pages: DataFrame, path: str, compression: str = "none") -> None:
+def write_pages(pages: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write a record per page (page_id, url, html).  Of pages with equal payloads, that
     with the largest page_id is a response and the others revisit it."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -195,11 +259,16 @@ def write_pages(pages: DataFrame, path: str, compression: str = "none") -> None:
     def field(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(end)), F.lit(""))
 
+    def record_id(page: Column) -> Column:
+        digits = F.md5(F.concat_ws("\x00", page.cast("string"), F.col("digest")).cast("binary"))
+        parts = [F.substring(digits, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
     head = F.concat(F.lit(f"WARC/1.1{end}"), field("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-                    field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))), field("WARC-Target-URI", F.col("url")),
+                    field("WARC-Record-ID", record_id(F.col("page_id"))), field("WARC-Target-URI", F.col("url")),
                     field("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
                     field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), field("X-Page-Id", F.col("page_id")),
-                    field("X-Refers-To-Page", F.when(F.col("revisit"), F.col("head"))),
+                    field("WARC-Refers-To", F.when(F.col("revisit"), record_id(F.col("head")))), field("X-Refers-To-Page", F.when(F.col("revisit"), F.col("head"))),
                     field("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                     field("X-Payload-Length", F.octet_length("html")), field("Content-Type", F.lit("application/http;msgtype=response")),
                     field("Content-Length", F.octet_length(block)), F.lit(end))
@@ -207,10 +276,13 @@ def write_pages(pages: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records below a path: the header columns of FIELDS, and the payload."""
+    """Records below a path: the header columns of FIELDS, the payload and reject_reason.
+
+    Spark keeps a table's reader with the filters of one scan for a later scan that has
+    none.  So every scan gets one that all rows pass, and with it a reader of its own."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path if "://" in path or path.startswith("file:") else f"file://{path}").where("scanned").drop("scanned")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:

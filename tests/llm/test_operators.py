@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -426,10 +427,43 @@ def test_warc(spark, tmp_path):
         assert read.count() == len(rows)
         assert {bytes(r.payload).decode() for r in read.where("page_id IN (5, 7)").collect()} == {rows[4][2], rows[7][2]}
         assert {r.page_id for r in read.where("target_uri = 'http://a/1' AND record_type = 'revisit'").collect()} == {1}
-        assert all(r.payload is None for r in warc.read_warc(spark, path, payload=False).collect())
+        assert all(r.payload is None and r.reject_reason is None for r in warc.read_warc(spark, path, payload=False).collect())
+        heads = {r.page_id: r for r in read.collect()}
+        assert heads[1].refers_to == heads[2].record_id and heads[2].refers_to is None
     assert warc.archived_pages(df.limit(0)).collect() == []
 
 
+def test_bad_records(spark, tmp_path):
+    """Records that cannot be read are rows with a reason; those around them are read."""
+    import gzip
+
+    def record(page, body, kind="response", length=None, http=True):
+        block = (b"HTTP/1.1 200 OK\r\n\r\n" if http else b"") + body
+        return b"WARC/1.1\r\nWARC-Type: %s\r\nX-Page-Id: %s\r\nContent-Type: application/http\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (
+            kind.encode(), str(page).encode(), str(len(block) if length is None else length).encode(), block)
+
+    good = [record(i, b"body %d" % i) for i in range(6)]
+    files = {"length.warc": good[0] + record(90, b"x", length="many") + good[1] + record(91, b"x", length="") + good[2],
+             "http.warc": record(92, b"no header end", http=False) + good[3], "cut.warc": good[4] + record(93, b"short", length=5_000_000),
+             "junk.warc": b"not a record\r\n\r\nmore\r\nWARC-like\r\n" + good[5], "tail.warc": b"WARC/1.1\r\nX-Page-Id: 94\r\nno end",
+             "wide.warc": b"WARC/1.1\r\nX-Page-Id: 95\r\nX: " + b"y" * 3_000_000 + b"\r\n" + record(6, b"body 6"),
+             "number.warc": record("9x", b"body"), "empty.warc": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    packed = gzip.compress(record(7, b"body 7") + b"".join(record(1000 + i, bytes(os.urandom(9_000).hex(), "ascii")) for i in range(400)))
+    (tmp_path / "broken.warc.gz").write_bytes(packed[:len(packed) // 2] + b"\x00" * 50)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    fine = {r.page_id: r.payload for r in rows if r.reject_reason is None}
+    assert all(bytes(fine[i]) == b"body %d" % i for i in range(8)) and bytes(fine[None]) == b"body"
+    assert not {90, 91, 92, 93, 94, 95} & set(fine)
+    bad = [r for r in rows if r.reject_reason is not None]
+    assert {r.page_id for r in bad} >= {90, 91, 92, 93} and all(r.payload is None for r in bad)
+    assert {r.reject_reason.split(":")[0].split(" '")[0] for r in bad} >= {"content length", "HTTP block without header end", "record is cut off", "no WARC record", "header without end"}
+    told = warc.read_warc(spark, str(tmp_path)).where("record_type = 'response' AND page_id < 90").collect()
+    assert {r.page_id for r in told} >= set(range(8)) and all(r.record_type == "response" for r in told)
+    assert warc.read_warc(spark, str(tmp_path), payload=False).where("reject_reason IS NOT NULL").count() >= 6
+
+
 def test_reader_takes_filters():
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
