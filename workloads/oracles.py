@@ -326,6 +326,14 @@ ORACLES: dict[str, str] = {
         SELECT path AS file_path, line_no::BIGINT AS line, rule_id, vuln_type, severity, score::DOUBLE AS score,
             'Medium' AS confidence, {_SNIPPET} AS code_snippet
         FROM lines JOIN r ON regexp_matches(line, '(?i)' || pattern)""",
+    "rule_table_match": """
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
+r AS (SELECT doc_id, w, 'R' || doc_id AS rule_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE lower(w[1] || ' ' || w[2]) END AS a, CASE WHEN doc_id % 50 = 0 OR doc_id % 5 <> 0 THEN NULL ELSE lower(w[4] || ' ' || w[5]) END AS b,
+  CASE WHEN doc_id % 50 = 0 THEN '[0-9]{' || (doc_id % 7 + 3) || '}' WHEN doc_id % 5 = 0 THEN w[1] || ' ' || w[2] || '[ ]+' || w[3] || '|' || w[4] || ' ' || w[5] || '[ ]+' || w[6]
+       ELSE w[1] || ' ' || w[2] || '[ ]+' || w[3] END AS p FROM w WHERE len(w) >= 6),
+t AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+c AS (SELECT t.doc_id, rule_id, text, p FROM t JOIN r ON contains(low, a) OR contains(low, b))
+SELECT doc_id, rule_id FROM c WHERE regexp_matches(text, p, 'i')""",
     "pattern_match": f"""WITH r(rule_id, pattern) AS (VALUES {_values(_PATTERNS)})
         SELECT doc_id, rule_id FROM documents JOIN r ON regexp_matches(text, '(?i)' || pattern)""",
     "html_scripts": r"""WITH s AS (SELECT 'page' || page_id || '.html' AS path,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taintlake.functions import text
-from taintlake.operators import deps, facts, html, line_rules, project, report, taint, views
+from taintlake.operators import deps, facts, html, line_rules, project, report, rule_index, taint, views
 from taintlake.plans.scan import raw_findings, scan
 from taintlake.plans.storage import shared_dir
 from taintlake.rules.catalog import STRUCT_LANGS
@@ -96,6 +96,23 @@ def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.match_rules(docs, "text", rules).select("doc_id", "rule_id")
 
 
+def rule_table(docs: DataFrame) -> DataFrame:
+    """A rule per document: its first three words, for some of them also the next three,
+    with any blanks before the last; and a few that demand no literal."""
+    words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), F.lit(0))
+    some = lambda i: F.concat(F.get("w", F.lit(i)), F.lit(" "), F.get("w", F.lit(i + 1)), F.lit("[ ]+"), F.get("w", F.lit(i + 2)))
+    rows = docs.select("doc_id", words.alias("w")).where("size(w) >= 6")
+    pattern = (F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("[0-9]{"), (F.col("doc_id") % 7 + 3).cast("string"), F.lit("}")))
+               .when(F.col("doc_id") % 5 == 0, F.concat(F.lit("(?:"), some(0), F.lit("|"), some(3), F.lit(")"))).otherwise(some(0)))
+    return rows.select(F.concat(F.lit("R"), F.col("doc_id").cast("string")).alias("rule_id"), pattern.alias("pattern"))
+
+
+def rule_table_match(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule table as long as the documents, against the documents."""
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    return rule_index.match_rule_table(docs, "text", rule_table(docs)).select("doc_id", "rule_id")
+
+
 # -------------------------------------------------------------------------- HTML
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = corpus.table(spark, sf, "pages")
@@ -307,6 +324,7 @@ QUERIES = {
     "secret_tokens": _scan_only("secrets"),
     "custom_rules": custom_rules,
     "pattern_match": pattern_match,
+    "rule_table_match": rule_table_match,
     "html_scripts": html_scripts,
     "html_attrs": html_attrs,
     "html_findings": _scan_only("struct", lang="html"),
