@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taintlake.functions import text
 from taintlake.functions.patterns import match_any
-from taintlake.plans.storage import saved
+from taintlake.plans.storage import Workspace, saved
 from taintlake.rules.catalog import FALLBACK_SOURCES
 
 _ASSIGNED = r"(?U)(\$?\w+)\s*="
@@ -89,32 +89,51 @@ def taint_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = N
     """All ``(path, var, depth)`` reachable from the seeds, depth being the least
     number of edges.
 
-    Each round joins only the newest names with the edges and removes what is
-    known.  A round ends in a written table, so its lineage is cut, a lost
-    executor costs one round at most and the next join sees real sizes.  Keys are
-    ``(path, name)``: one large path spreads over its names.
+    Edges are placed once, by (path, src), and known names by (path, var).  A round
+    moves only its newest names: to their edges, and what they reach to its place, where
+    known names are removed.  Each round ends in a written table, so its lineage is cut, a
+    lost executor costs one round at most and the next join sees real sizes.  Keys are
+    (path, name): one large path spreads over its names.  Tables of rounds are merged now
+    and then, and all are dropped in the end; the result is one table in the shared folder.
     """
-    # Edges out of a name that is its own target only add what is known.
-    edges = saved(edges.where("src <> dst").select("path", "src", "dst"), "edges")
-    known = saved(seeds.select("path", "var").distinct().withColumn("depth", F.lit(0)), "reached")
-    frontier, parts, depth = known, [known], 0
-    while True:
-        depth += 1
-        if max_rounds is not None and depth > max_rounds:
-            raise RuntimeError(f"closure not reached after {max_rounds} rounds")
-        reached = parts[0]
-        for part in parts[1:]:
-            reached = reached.unionByName(part)
-        step = (frontier.select("path", F.col("var").alias("src")).join(edges, ["path", "src"])
-                .select("path", F.col("dst").alias("var")).distinct()
-                .join(reached.select("path", "var"), ["path", "var"], "left_anti")
-                .withColumn("depth", F.lit(depth)))
-        frontier = saved(step, "reached")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        if len(parts) > 16:
-            parts = [saved(reached.unionByName(frontier), "reached")]
+    work = Workspace(seeds.sparkSession, "closure")
+    read = seeds.sparkSession.table
+    try:
+        # Edges out of a name that is its own target only add what is known.
+        edges = work.save(edges.where("src <> dst").select("path", "src", "dst"), ("path", "src"))
+        parts = [work.save(seeds.select("path", "var").distinct().withColumn("depth", F.lit(0)), _NAME)]
+        depth = 0
+        while True:
+            depth += 1
+            if max_rounds is not None and depth > max_rounds:
+                raise RuntimeError(f"closure not reached after {max_rounds} rounds")
+            newest = work.save(_next_names(read(parts[-1]), read(edges), [read(p) for p in parts], depth), _NAME)
+            if read(newest).isEmpty():
+                break
+            parts.append(newest)
+            if len(parts) > _PARTS:  # the newest stays apart, as the next round starts from it
+                merged = work.save(_union([read(p) for p in parts[:-1]]), _NAME)
+                for old in parts[:-1]:
+                    work.drop(old)
+                parts = [merged, newest]
+        return saved(_union([read(p) for p in parts]), "reached")
+    finally:
+        work.close()
+
+
+_NAME = ("path", "var")
+_PARTS = 8
+
+
+def _next_names(newest: DataFrame, edges: DataFrame, known: list[DataFrame], depth: int) -> DataFrame:
+    step = (newest.select("path", F.col("var").alias("src")).join(edges, ["path", "src"])
+            .select("path", F.col("dst").alias("var")).distinct())
+    for part in known:
+        step = step.join(part.select("path", "var"), ["path", "var"], "left_anti")
+    return step.withColumn("depth", F.lit(depth))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -131,6 +131,28 @@ def test_closure_equals_brute_force(spark):
     assert {(r.path, r.var): r.depth for r in got.collect()} == want
 
 
+def test_closure_moves_edges_once(spark):
+    """After they are placed, edges and known names are read where they lie."""
+    from taintlake.plans.storage import Workspace
+
+    work = Workspace(spark, "test")
+    edges = work.save(spark.range(500).selectExpr("cast(id % 7 AS string) AS path", "cast(id AS string) AS src", "cast(id + 1 AS string) AS dst"), ("path", "src"))
+    names = spark.range(40).selectExpr("cast(id % 7 AS string) AS path", "cast(id AS string) AS var", "0 AS depth")
+    known = [work.save(names, ("path", "var")) for _ in range(3)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with names beyond that size
+    step = taint._next_names(spark.table(known[-1]), spark.table(edges), [spark.table(k) for k in known], 1)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The newest names lie where their edges do, too: only what they reach is moved.
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 5
+    before = set(spark.catalog.listDatabases("taintlake_closure*"))
+    chain = spark.range(30).selectExpr("'p' AS path", "cast(id AS string) AS src", "cast(id + 1 AS string) AS dst")
+    got = taint.taint_closure(spark.createDataFrame([("p", "0")], "path string, var string"), chain)
+    assert {(int(r.var), r.depth) for r in got.collect()} == {(i, i) for i in range(31)}
+    assert set(spark.catalog.listDatabases("taintlake_closure*")) == before
+    work.close()
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from("abcdefgh")), max_size=12),
                 min_size=1, max_size=20))
