@@ -3,6 +3,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # (extension, text); "{k}" becomes the order key, "{aws}" a token-shaped string
@@ -93,3 +98,22 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     seeds = li.where("l_linenumber = 1").select(path, dst.alias("var")).distinct()
     edges = li.select(path, (F.col("l_partkey") % 5).cast("string").alias("src"), dst.alias("dst")).distinct()
     return seeds, edges
+
+
+def write_archives(docs: DataFrame, folder: str) -> None:
+    """A ZIP archive ``a<n>.zip`` per value of ``archive``, of bounded size, with a member
+    ``d<doc_id>.txt`` per row; beside every third one a copy without its end."""
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
+                z.writestr(f"d{doc}.txt", text or "")
+        system, root = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+        system.create_dir(root)
+        n, data = key[0].as_py(), blob.getvalue()
+        for name, part in [(f"a{n}.zip", data)] + [(f"a{n}x.zip", data[:-30])] * (n % 3 == 0):
+            with system.open_output_stream(f"{root}/{name}") as out:
+                out.write(part)
+        return pa.table({"archive": [n]})
+
+    docs.groupBy("archive").applyInArrow(pack, "archive long").count()

@@ -321,11 +321,23 @@ ORACLES: dict[str, str] = {
             'Low' AS confidence, 'Fallback' AS category, 'unknown' AS lang, {_SNIPPET} AS code_snippet
         FROM lines JOIN r ON regexp_matches(line, '(?i)' || pattern)""",
     "config_scan": _findings(_rule("CONFIGSCAN-")),
+    "sink_batches": _findings(_rule("CONFIGSCAN-")),
     "secret_tokens": _findings(_rule("SECRETSCAN-")),
     "custom_rules": f"""WITH {_LINES}, r(rule_id, vuln_type, pattern, severity, score) AS (VALUES {_values(_CUSTOM)})
         SELECT path AS file_path, line_no::BIGINT AS line, rule_id, vuln_type, severity, score::DOUBLE AS score,
             'Medium' AS confidence, {_SNIPPET} AS code_snippet
         FROM lines JOIN r ON regexp_matches(line, '(?i)' || pattern)""",
+    "archived_documents": """
+WITH d AS (SELECT doc_id, doc_id // 200 AS a, coalesce(text, '') AS t FROM documents)
+SELECT 'a' || a || '.zip!/d' || doc_id || '.txt' AS name, strlen(t) AS n_bytes, md5(t) AS digest, NULL::VARCHAR AS reason FROM d
+UNION ALL SELECT DISTINCT 'a' || a || 'x.zip', NULL::BIGINT, NULL, 'archive' FROM d WHERE a % 3 = 0""",
+    "advisory_records": """
+WITH p AS (SELECT 'ADV-' || p_partkey AS id, p_partkey AS k, p_partkey % 7 = 0 AS broken, p_partkey % 10 = 0 AS empty FROM part)
+SELECT id, 'pkg' || k AS package, 'PyPI' AS ecosystem, '' AS reject_reason FROM p WHERE NOT broken AND NOT empty AND k % 6 <> 0
+UNION ALL SELECT id, 'shared', 'npm', '' FROM p WHERE NOT broken AND NOT empty
+UNION ALL SELECT '', '', '', 'malformed JSON' FROM p WHERE broken
+UNION ALL SELECT id, '', '', 'no affected package' FROM p WHERE NOT broken AND empty
+UNION ALL SELECT id, '', '', 'affected entry 1 names no package' FROM p WHERE NOT broken AND NOT empty AND k % 6 = 0""",
     "rule_table_match": """
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
 r AS (SELECT doc_id, w, 'R' || doc_id AS rule_id, CASE WHEN doc_id % 50 = 0 THEN '' ELSE lower(w[1] || ' ' || w[2]) END AS a, CASE WHEN doc_id % 50 = 0 OR doc_id % 5 <> 0 THEN NULL ELSE lower(w[4] || ' ' || w[5]) END AS b,

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from taintlake.functions import text
 from taintlake.operators import deps, facts, html, line_rules, project, report, rule_index, taint, views
 from taintlake.plans.scan import raw_findings, scan
-from taintlake.plans.storage import shared_dir
+from taintlake.plans.storage import saved, shared_dir
 from taintlake.rules.catalog import STRUCT_LANGS
 from taintlake.schemas import FINDING_COLUMNS
-from taintlake.sources.files import as_source_files, split_blank
+from taintlake.sources import packages
+from taintlake.sources.files import as_source_files, read_archives, split_blank
 from taintlake.sources.packages import read_dependencies
+from taintlake.sources.sinks import read_batches, write_batch
 from taintlake.streaming.scan_stream import line_findings_stream, scan_batches
 from workloads import catalogue, corpus
 
@@ -68,6 +70,30 @@ def line_split(spark: SparkSession, sf: str) -> DataFrame:
                         text.snippet(F.col("line")).alias("snippet"), F.length("line").cast("long").alias("n_chars"))
 
 
+ARCHIVE_FILES = 200
+
+
+def archived_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed into ZIP archives, some of them cut off, and read again: members
+    and archives that cannot be read, by their reason."""
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / ARCHIVE_FILES).alias("archive"))
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    corpus.write_archives(docs, folder)
+    rows = read_archives(spark, folder, exts=[".txt"])
+    name = F.regexp_extract("path", "/(a[0-9]+x?\\.zip.*)$", 1)
+    return rows.select(name.alias("name"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"),
+                       F.split("reject_reason", ":")[0].alias("reason"))
+
+
+def sink_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings written to the sink in three batches, one of them twice, and read back."""
+    found = saved(scan(corpus.code_corpus(spark, sf), only=["config"]), "findings")
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        write_batch(found.where(F.pmod(F.crc32(F.col("file_path").cast("binary")), F.lit(3)) == batch), path, batch)
+    return shown(read_batches(spark, path))
+
+
 # ------------------------------------------------------------------ line engines
 def line_rule_scan(spark: SparkSession, sf: str) -> DataFrame:
     return shown(scan(_documents(spark, sf), only=["fallback"]))
@@ -227,6 +253,21 @@ def dep_clean(spark: SparkSession, sf: str) -> DataFrame:
     return deps.clean_dependencies(*_deps_and_advisories(spark, sf))
 
 
+def advisory_records(spark: SparkSession, sf: str) -> DataFrame:
+    """An advisory export, a record per part, written and read again: what names a package,
+    and what is rejected (broken JSON, no affected package, an entry without a name)."""
+    part, key = corpus.table(spark, sf, "part"), F.col("p_partkey")
+    name = F.when(key % 6 != 0, F.concat(F.lit("pkg"), key.cast("string")))
+    entry = lambda n, e: F.struct(F.struct(n.alias("name"), F.lit(e).alias("ecosystem")).alias("package"))
+    affected = F.when(key % 10 != 0, F.array(entry(name, "PyPI"), entry(F.lit("shared"), "npm")))
+    record = F.to_json(F.struct(F.concat(F.lit("ADV-"), key.cast("string")).alias("id"), F.col("p_name").alias("summary"), affected.alias("affected")))
+    folder = f"{shared_dir(spark)}/advisories-{uuid.uuid4().hex}"
+    part.select(F.when(key % 7 == 0, F.substring(record, 1, 20)).otherwise(record).alias("value")).write.text(folder)
+    good = packages.read_advisories(spark, folder).select("id", "package", "ecosystem", F.lit("").alias("reject_reason"))
+    bad = packages.rejected_advisories(packages.read_advisory_records(spark, folder))
+    return good.unionByName(bad.select(F.coalesce("id", F.lit("")).alias("id"), F.lit("").alias("package"), F.lit("").alias("ecosystem"), "reject_reason"))
+
+
 # ----------------------------------------------------------------------- reports
 def _line_item_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with many duplicates of one key, over all of ``lineitem``."""
@@ -285,10 +326,10 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(found: DataFrame, batch_id: int) -> None:
-        found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        write_batch(found, f"{folder}/out", batch_id)
 
     scan_batches(files, sink, f"{folder}/state").awaitTermination()
-    return shown(spark.read.parquet(f"{folder}/out"))
+    return shown(read_batches(spark, f"{folder}/out"))
 
 
 def whole(findings: DataFrame) -> DataFrame:
@@ -319,6 +360,7 @@ QUERIES = {
     "ingest_lenient": ingest_lenient,
     "lang_detect": lang_detect,
     "line_split": line_split,
+    "archived_documents": archived_documents,
     "line_rule_scan": line_rule_scan,
     "config_scan": _scan_only("config"),
     "secret_tokens": _scan_only("secrets"),
@@ -346,11 +388,13 @@ QUERIES = {
     "php_echo": _scan_only("call_taint", lang="php", where="rule_id = 'XSS-1'"),
     "dep_advisories": dep_advisories,
     "dep_clean": dep_clean,
+    "advisory_records": advisory_records,
     "dedupe_findings": dedupe_findings,
     "ranked_findings": ranked_findings,
     "file_report": file_report,
     "severity_report": severity_report,
     "union_counts": union_counts,
+    "sink_batches": sink_batches,
     "stream_scan": stream_scan,
     "rule_findings": rule_findings,
     "stream_lines": stream_lines,
