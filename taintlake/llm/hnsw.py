@@ -2,18 +2,20 @@
 
 Equal vectors of a label are one node.  The nodes of each label are dealt into shards
 of bounded size, every shard gets a graph, and every shard's nodes query every graph of
-their label (each pair of shards once, as the cosine is symmetric).  A task widens the
-beams of queries whose beam is full of links, and all beams until an audit against
-brute force passes.  The audit draws queries until 600 of them have a link to another
-node.  Where links are too rare for that, all queries have been compared,
-and the exact answer stands; it also does where no beam passes.  Links are verified in double precision;
-a task answers with numbers of links and spanning stars, and components are joined
-across tasks by the stars."""
+their label (each pair of shards once, as the cosine is symmetric).  A task draws
+queries, looks up their ten nearest neighbours by brute force, which every query has
+however rare links are, and widens its beams until searches find 99 % of them and 99.5 %
+of these queries' links.  Only then all queries search the graph, and beams that are full
+of links are widened further; a pair of shards is searched from both sides.  If beams as
+wide as the graph fail, the pair is compared exactly; `audits` tells where, and the recall
+of all others.  Links are verified in double precision; a task answers with numbers of
+links and spanning stars, and components are joined across tasks by the stars."""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from taintlake.llm.tables import components
 from taintlake.llm.unionfind import union
 from taintlake.plans.storage import saved
 
-SHARD_ROWS = 10_000
-AUDIT_QUERIES = 256  # compared at once
-AUDIT_LINKED = 600
-AUDIT_RECALL = 0.995
+#: Most vectors of a shard, and most bytes of its vectors in double precision.
+SHARD_ROWS, SHARD_BYTES = 10_000, 64 << 20
+AUDIT_QUERIES, AUDIT_NEIGHBOURS = 256, 10
+AUDIT_RECALL, AUDIT_LINK_RECALL = 0.99, 0.995
 DEGREE, BUILD_BEAM, FIRST_BEAM = 16, 64, 64
 _SLACK = 1e-3  # single precision finds, double precision decides
 
@@ -167,21 +169,26 @@ class Graph:
         order = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def beams(self, queries: np.ndarray, beam: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Best `beam` nodes of the whole graph, for some queries at a time."""
+        step = max(1, min(256, 20_000_000 // len(self.x), 2_000_000 // beam))
+        for i in range(0, len(queries), step):
+            part = slice(i, i + step)
+            entry = np.full((len(queries[part]), 1), self.top, np.int32)
+            for layer in range(self.level[self.top], 0, -1):
+                entry = self.search(queries[part], entry, 1, layer)[0]
+            yield part, *self.search(queries[part], entry, beam, 0)
+
     def within(self, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of similarities at or above a threshold; a beam that is full of
         them is widened."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
         n, todo = len(self.x), np.arange(len(queries))
         while len(todo):
             beam = min(beam, n)
-            again = []
-            step = max(1, min(256, 20_000_000 // n, 2_000_000 // beam))
-            for i in range(0, len(todo), step):
-                rows = todo[i:i + step]
-                entry = np.full((len(rows), 1), self.top, np.int32)
-                for layer in range(self.level[self.top], 0, -1):
-                    entry = self.search(queries[rows], entry, 1, layer)[0]
-                ids, sims = self.search(queries[rows], entry, beam, 0)
+            again = [np.zeros(0, np.int64)]
+            for part, ids, sims in self.beams(queries[todo], beam):
+                rows = todo[part]
                 full = (sims[:, -1] >= threshold) & (beam < n)
                 again.append(rows[full])
                 r, c = np.nonzero((sims >= threshold) & (ids >= 0) & ~full[:, None])
@@ -190,13 +197,11 @@ class Graph:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _compared(queries: np.ndarray, x: np.ndarray, rows: np.ndarray, low: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) links of some queries by brute force, without those to themselves."""
-    near = queries[rows] @ x.T >= low
-    if same:
-        near[np.arange(len(rows)), rows] = False
-    r, node = np.nonzero(near)
-    return rows[r].astype(np.int32), node.astype(np.int32)
+def _compared(queries: np.ndarray, x: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) links by brute force."""
+    found = [np.nonzero(queries[i:i + 256] @ x.T >= low) for i in range(0, len(queries), 256)]
+    return (np.concatenate([r + 256 * i for i, (r, _) in enumerate(found)] or [np.zeros(0, np.int64)]),
+            np.concatenate([c for _, c in found] or [np.zeros(0, np.int64)]))
 
 
 def _verified(q: np.ndarray, node: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, threshold: float) -> np.ndarray:
@@ -204,43 +209,50 @@ def _verified(q: np.ndarray, node: np.ndarray, exact: np.ndarray, exact_queries:
                            for i in range(0, len(q), 100_000)] or [np.zeros(0, bool)])
 
 
-def links(graph: Graph, queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Audit:
+    """What the widening of beams ended with: the beam, the share of nearest neighbours of
+    audited queries and of their links that it found, and whether no beam was enough."""
+
+    beam: int
+    recall: float
+    link_recall: float
+    exact: bool
+
+
+def links(graph: Graph, queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, Audit]:
     """Verified (query, node) links; `same` says that the queries are the graph's own
-    nodes.  Beams are widened until the audit passes; without one, all is compared."""
-    low, n = threshold - _SLACK, len(queries)
-    order = np.random.default_rng(1).permutation(n)
-    told: list[tuple[np.ndarray, np.ndarray]] = []
-    at = linked = 0
-
-    def compare_until(enough: float) -> None:
-        nonlocal at, linked
-        while at < n and linked < enough:
-            told.append(_compared(queries, graph.x, order[at:at + AUDIT_QUERIES], low, same))
-            at, linked = at + AUDIT_QUERIES, linked + len(np.unique(told[-1][0]))
-
-    compare_until(AUDIT_LINKED)
-    beam = FIRST_BEAM
-    if at < n:
-        audit = np.sort(order[:at])
-        true_q, true_node = (np.concatenate(c) for c in zip(*told, strict=True))
-        truth = true_q.astype(np.int64) * len(graph.x) + true_node
-        each = np.bincount(true_q, minlength=n)
-        while at < n:
-            r, node = graph.within(queries[audit], low, beam)
-            hit = np.isin(truth, audit[r] * len(graph.x) + node)
-            share = np.bincount(true_q[hit], minlength=n)[each > 0] / each[each > 0]
-            # Over links, and over queries: a few with very many links don't stand for all.
-            if min(hit.mean(), share.mean()) >= AUDIT_RECALL:
-                break
-            if beam >= len(graph.x):
-                compare_until(float("inf"))
-            beam *= 2
-    if at >= n:
-        q, node = (np.concatenate(c) for c in zip(*told, strict=True)) if told else (np.zeros(0, np.int32),) * 2
-    else:
-        q, node = graph.within(queries, low, beam)
+    nodes.  Beams are widened until the audit passes.  If it fails even with beams as wide
+    as the graph, which then has nodes that no path leads to, all is compared, and the
+    audit says so."""
+    low, n = threshold - _SLACK, len(graph.x)
+    picked = np.sort(np.random.default_rng(1).permutation(len(queries))[:AUDIT_QUERIES])
+    near = queries[picked] @ graph.x.T
+    if same:
+        near[np.arange(len(picked)), picked] = -np.inf
+    k = min(AUDIT_NEIGHBOURS, n - same)
+    kth = np.partition(near, n - k, axis=1)[:, n - k] - 1e-6 if k and len(picked) else np.zeros(len(picked))
+    linked = (near >= low).sum()
+    audit, beam = Audit(0, 0.0, 0.0, False), FIRST_BEAM
+    while True:
+        beam = min(beam, n)
+        hits = told = 0
+        for part, ids, sims in graph.beams(queries[picked], beam):
+            others = (ids >= 0) & ((ids != picked[part][:, None]) | (not same))
+            hits += np.minimum((others & (sims >= kth[part][:, None])).sum(axis=1), k).sum()
+        found_q, found = graph.within(queries[picked], low, beam)
+        told = ((found != picked[found_q]) | (not same)).sum()
+        audit = Audit(beam, float(hits / max(1, k * len(picked))) if k else 1.0, float(told / linked) if linked else 1.0, False)
+        if audit.recall >= AUDIT_RECALL and audit.link_recall >= AUDIT_LINK_RECALL:
+            q, node = graph.within(queries, low, beam)
+            break
+        if beam >= n:
+            audit.exact = True
+            q, node = _compared(queries, graph.x, low)
+            break
+        beam *= 2
     keep = _verified(q, node, exact, exact_queries, threshold)
-    return q[keep].astype(np.int64), node[keep].astype(np.int64)
+    return q[keep].astype(np.int64), node[keep].astype(np.int64), audit
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -251,7 +263,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     with nothing: n_links 0, its own vec_id as component.  Vectors of different length
     don't compare.  Rows with equal vectors link, also if they repeat a vec_id.  Other
     columns are ignored."""
-    spark = vectors.sparkSession
+    return _told(*_searched(vectors, threshold))
+
+
+def audits(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """One row per pair of shards: kind (label and dimensions), low, high, beam, recall of
+    nearest neighbours, link_recall, and exact where no beam was enough."""
+    return _searched(vectors, threshold)[2].where("beam IS NOT NULL").select("kind", "low", "high", "beam", "recall", "link_recall", "exact")
+
+
+def _searched(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their keys, nodes, and what tasks answer: links of nodes and audits."""
     wide = F.col("embedding").cast("array<double>")
     finite = F.forall(wide, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists(wide, lambda v: v != 0), F.lit(False))
@@ -259,7 +281,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                           F.xxhash64("embedding").alias("h1"), F.xxhash64(F.reverse("embedding"), F.size("embedding")).alias("h2"))
     same = rows.where("usable").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = saved(same.withColumn("kind", F.concat_ws(":", "label", F.size("v").cast("string"))), "hnsw-nodes")
-    shards = nodes.groupBy("kind").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
+    need = F.greatest(F.count("*") / SHARD_ROWS, F.sum(8 * F.size("v")) / SHARD_BYTES)
+    shards = nodes.groupBy("kind").agg(F.ceil(need).cast("int").alias("shards"))
     dealt = nodes.join(shards, "kind").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -285,12 +308,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         low, high = key[1].as_py(), key[2].as_py()
         ids, copies, exact, graph = sides[low]
         q_ids, q_copies, q_exact, q_graph = sides[high]
-        q, node = links(graph, q_graph.x, exact, q_exact, threshold, low == high)
+        q, node, audit = links(graph, q_graph.x, exact, q_exact, threshold, low == high)
+        # A link found from one end holds for both.
         if low == high:
-            # A link found from one end holds for both.
             apart = q != node
             code = np.unique(np.minimum(q, node)[apart] * len(ids) + np.maximum(q, node)[apart])
-            q, node = code // max(1, len(ids)), code % max(1, len(ids))
+        else:
+            back, mine, other = links(q_graph, graph.x, q_exact, exact, threshold)
+            code = np.unique(np.concatenate((q, mine)) * len(ids) + np.concatenate((node, back)))
+            audit = Audit(max(audit.beam, other.beam), min(audit.recall, other.recall), min(audit.link_recall, other.link_recall), audit.exact or other.exact)
+        q, node = code // max(1, len(ids)), code % max(1, len(ids))
         every = np.unique(np.concatenate((ids, q_ids)))
         a, b = np.searchsorted(every, q_ids[q]), np.searchsorted(every, ids[node])
         count, root = np.zeros(len(every), np.int64), np.arange(len(every))
@@ -298,9 +325,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         np.add.at(count, b, q_copies[q])
         union(root, a, b)
         told = np.flatnonzero((count > 0) | (root != np.arange(len(root))))
-        return pa.table([pa.array(every[told]), pa.array(count[told]), pa.array(every[root[told]])], ["node", "n", "root"])
+        rows, none = len(told), [None] * len(told)
+        links_ = [[*every[told].tolist(), None], [*count[told].tolist(), None], [*every[root[told]].tolist(), None]]
+        about = [[*none, audit.beam], [*none, audit.recall], [*none, audit.link_recall], [*none, audit.exact]]
+        keys = [[k.as_py()] * (rows + 1) for k in key]
+        return pa.table(dict(zip(_FOUND_NAMES, keys + links_ + about, strict=True)), schema=_FOUND)
+
+    form = "kind string, low int, high int, node long, n long, root long, beam int, recall double, link_recall double, exact boolean"
+    return rows, nodes, saved(pairs.groupBy("kind", "low", "high").applyInArrow(query, form), "hnsw-links")
+
+
+_FOUND = pa.schema([("kind", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64()),
+                    ("beam", pa.int32()), ("recall", pa.float64()), ("link_recall", pa.float64()), ("exact", pa.bool_())])
+_FOUND_NAMES = _FOUND.names
+
 
-    found = saved(pairs.groupBy("kind", "low", "high").applyInArrow(query, "node long, n long, root long"), "hnsw-links")
+def _told(rows: DataFrame, nodes: DataFrame, searched: DataFrame) -> DataFrame:
+    found = searched.where("node IS NOT NULL")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "hnsw-stars")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = (nodes.select("label", "h1", "h2", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")

@@ -226,7 +226,8 @@ def test_links_that_no_beam_reaches():
     for rows in (x, x[:40]):
         truth = rows @ x.T >= 0.93
         for same in (True, False):
-            q, node = hnsw.links(graph, rows.astype(np.float32), x, rows, 0.93, same)
+            q, node, audit = hnsw.links(graph, rows.astype(np.float32), x, rows, 0.93, same)
+            assert audit.exact and audit.beam == 700
             found = np.zeros_like(truth)
             found[q, node] = True
             apart = ~np.eye(*truth.shape, dtype=bool) | (not same)
@@ -245,6 +246,27 @@ def test_embeddings_with_rare_links(spark, monkeypatch):
     n_links = (x @ x.T >= 0.93).sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df).collect()}
     assert got == dict(enumerate(n_links.tolist())) and 10 < (n_links > 0).sum() < 40
+    told = hnsw.audits(df).collect()
+    assert len(told) == 3 and all(not r.exact and r.recall >= 0.99 and r.beam < 2000 for r in told)
+
+
+def test_the_graph_answers(monkeypatch):
+    """Links come from searches, not from the comparison that audits them."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24))
+    x[1500:2000] = x[:500] + 0.1 * rng.normal(size=(500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, asked = hnsw.Graph(x), []
+    search = hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, *a: (asked.append(len(q)), search(self, q, *a))[1])
+    monkeypatch.setattr(hnsw, "_compared", None)
+    q, node, audit = hnsw.links(graph, x.astype(np.float32), x, x, 0.93, True)
+    assert asked[-1] == 3000 and not audit.exact and audit.recall >= 0.99
+    found = np.zeros((3000, 3000), bool)
+    found[q, node] = found[node, q] = True
+    truth = x @ x.T >= 0.93
+    off = ~np.eye(3000, dtype=bool)
+    assert truth[off].sum() >= 900 and (found[off] == truth[off]).all()
 
 
 def test_language(spark):
