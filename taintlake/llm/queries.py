@@ -46,7 +46,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return unigram.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

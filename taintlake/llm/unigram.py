@@ -4,10 +4,14 @@ Spaces become the marker U+2581 and one marker is put in front.  The best split
 sum of piece scores is found by Viterbi over a double-array trie of the pieces' UTF-8
 bytes; a character that no piece covers falls back to its bytes.  No piece holds a
 marker behind another character, so a best split never crosses the start of a word (a
-run of markers and what follows): words are solved alone and remembered per worker."""
+run of markers and what follows): words are solved alone and remembered per worker.
+
+The pieces' scores are log probabilities: those of the file, or, for a file that has only
+merge ranks, logarithms by the law of rank and frequency, as tokenizers aren't trained."""
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -224,14 +228,27 @@ class Unigram:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Unigram:
-    """Pieces and scores of a sentencepiece model file."""
+    """Pieces of a sentencepiece model file with log scores.  A file of merges has ranks
+    for scores, whose sums mean nothing; they become logarithms by `log_scores`."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
-    pieces = [(model.id_to_piece(i), model.get_score(i)) for i in range(n)]
     first = next(i for i in range(n) if model.is_byte(i))
-    return Unigram(pieces, first, frozenset(i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
+    special = frozenset(i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+    scores = [model.get_score(i) for i in range(n)]
+    plain = [i for i in range(n) if i not in special and not model.is_byte(i)]
+    if all(scores[i] <= 0 and float(scores[i]).is_integer() for i in plain):
+        for i, score in zip(plain, log_scores([-scores[i] for i in plain]), strict=True):
+            scores[i] = score
+    return Unigram([(model.id_to_piece(i), scores[i]) for i in range(n)], first, special)
+
+
+def log_scores(ranks: list[float]) -> list[float]:
+    """Log probabilities of pieces known by rank alone: in proportion to 1 / (1 + rank), the
+    law that word frequencies follow.  Nothing is learnt from any text."""
+    whole = math.log(math.fsum(1 / (1 + r) for r in ranks))
+    return [-math.log1p(r) - whole for r in ranks]
 
 
 def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:

@@ -422,6 +422,18 @@ def test_unigram(docs, texts, empty):
         unknown = sum(1 for c in w if c not in {u.pieces[i] for i in u.plain})
         assert math.isclose(value(ids) + unknown * u.unknown, brute_split(u, w))
         assert u.split_all([w])[0] == np.array(ids, "<u4").tobytes()
+    rng = random.Random(8)
+    pieces = [u.pieces[i] for i in sorted(u.plain)]
+    for _ in range(300):  # random words of pieces and letters, some without a piece
+        w = "▁" * rng.randint(1, 2) + "".join(rng.choice(pieces).replace("▁", "") if rng.random() < .6 else rng.choice("abcxyzéß日\U0001F9FF") for _ in range(rng.randint(1, 4)))
+        if len(w) > 14:
+            continue
+        ids = u.split(w)
+        unknown = sum(1 for c in w if c not in {u.pieces[i] for i in u.plain})
+        assert math.isclose(value(ids) + unknown * u.unknown, brute_split(u, w)) and u.split_all([w])[0] == np.array(ids, "<u4").tobytes()
+    assert math.isclose(math.fsum(math.exp(u.score[i]) for i in u.plain), 1.0)
+    common, rare = u.pieces.index("om"), u.pieces.index("END")
+    assert math.isclose(u.score[common] - u.score[rare], math.log(4742 / 42))
     got = unigram.encode(docs, path)
     assert {r.doc_id: r.text for r in unigram.decode(got, path).collect()} == {i * 3 + 1: t for i, t in enumerate(texts)}
     rows = got.collect()
