@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taintlake.plans.storage import saved
 from taintlake.rules.catalog import CONFIDENCE_RANK, SEVERITY_RANK
@@ -86,14 +86,40 @@ def by_severity(findings: DataFrame) -> DataFrame:
         F.count("*").alias("n_findings"), F.max("score").alias("max_score"))
 
 
+def _in_file(findings: DataFrame) -> tuple[list[str], list[Column]]:
+    """What a report is made for, and the order of findings inside it."""
+    keys = [c for c in ("project", "file_path") if c in findings.columns]
+    return keys, [(-rank_of(F.col("severity"), SEVERITY_RANK)).alias("s"), (-F.col("score")).alias("n"),
+                  F.col("line").alias("l"), F.col("first_seq").alias("q")]
+
+
+def write_nested(findings: DataFrame, path: str) -> None:
+    """The nested reports as text files of JSON documents, a document per file (and
+    project) and a line per finding, in report order.
+
+    No report is held as a value: rows are sorted by file, which spills, and each becomes
+    its line of the document.  The first one opens the document and the last one closes
+    it, so a file may have any number of findings."""
+    keys, order = _in_file(findings)
+    finding = F.struct(*[c for c in FINDING_COLUMNS if c != "file_path"])
+    # Equal rows in all of the order are told apart by the rest, as in ``nested_report``.
+    over = Window.partitionBy(*keys).orderBy(*order, finding)
+    rows = findings.select(*keys, F.to_json(finding).alias("json"), F.row_number().over(over).alias("i"),
+                           F.lead(F.lit(1)).over(over).isNull().alias("last"))
+    head = F.to_json(F.struct(*keys))
+    opens = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"findings":['))
+    closes = F.concat(F.lit('],"n_findings":'), F.col("i").cast("string"), F.lit("}"))
+    rows.select(F.concat(F.when(F.col("i") == 1, opens).otherwise(","), F.col("json"),
+                         F.when(F.col("last"), closes).otherwise("")).alias("value")).write.text(path)
+
+
 def nested_report(findings: DataFrame) -> DataFrame:
     """One row per file with its findings in report order.  A file's findings are
     bounded by its lines times the rules, after deduplication; for dependency
-    findings, one row per project and package, bounded by the package's advisories."""
-    order = F.struct((-rank_of(F.col("severity"), SEVERITY_RANK)).alias("s"), (-F.col("score")).alias("n"),
-                     F.col("line").alias("l"), F.col("first_seq").alias("q"),
-                     F.struct(*[c for c in FINDING_COLUMNS if c != "file_path"]).alias("finding"))
-    keys = [c for c in ("project", "file_path") if c in findings.columns]
+    findings, one row per project and package, bounded by the package's advisories.
+    ``write_nested`` writes the same without a row that holds them all."""
+    keys, order = _in_file(findings)
+    order = F.struct(*order, F.struct(*[c for c in FINDING_COLUMNS if c != "file_path"]).alias("finding"))
     return (findings.groupBy(*keys)
             .agg(F.count("*").alias("n_findings"), F.sort_array(F.collect_list(order)).alias("f"))
             .select(*keys, "n_findings", F.col("f.finding").alias("findings")))

@@ -92,6 +92,48 @@ def test_archives_by_ranges(spark, tmp_path):
     assert files.read_archives(spark, str(nothing)).collect() == []
 
 
+def test_nested_reports_as_text(spark, tmp_path):
+    """The same documents as the nested rows, one of them with very many findings."""
+    from taintlake.operators import report
+    from taintlake.schemas import FINDING_COLUMNS
+
+    rows = spark.range(0, 60_000).selectExpr(
+        "if(id < 50000, 'big \"x\".py', concat('f', id % 40)) AS file_path", "CAST(id % 7000 AS INT) AS line", "'t' AS vuln_type",
+        "element_at(array('Critical', 'High', 'Low'), CAST(id % 3 + 1 AS INT)) AS severity", "CAST(id % 5 AS DOUBLE) AS score", "id AS first_seq")
+    rows = rows.select("*", *[F.lit(None if c == "cwe" else f'a"{c}\\').alias(c) for c in FINDING_COLUMNS if c not in rows.columns]).repartition(5)
+    path = str(tmp_path / "report")
+    report.write_nested(rows, path)
+    decode, got = json.JSONDecoder().raw_decode, {}
+    for name in os.listdir(path):
+        if name.startswith("part-"):
+            text, at = (tmp_path / "report" / name).read_text(), 0
+            while text[at:].strip():
+                doc, at = decode(text, at)
+                at += len(text[at:]) - len(text[at:].lstrip()) if len(text) - at < 200 else 1
+                got[doc["file_path"]] = doc
+    want = {r.file_path: json.loads(r.j) for r in report.nested_report(rows).select("file_path", F.to_json(F.struct("file_path", "findings", "n_findings")).alias("j")).collect()}
+    assert got == want and got['big "x".py']["n_findings"] == 50_000
+
+
+def test_a_stronger_finding_wins_while_held(spark, tmp_path):
+    from taintlake.streaming.scan_stream import line_findings_stream
+
+    rules = spark.createDataFrame([("U-1", "Thing", ["alpha"], "Low"), ("U-2", "Thing", ["beta"], "High")],
+                                  "rule_id string, name string, sink_patterns array<string>, confidence string")
+    form, folder = "path string, file_name string, content string, ts timestamp", str(tmp_path / "in")
+    batches = [[("a.py", "alpha\nalpha\n", 0), ("b.py", "beta\n", 0)], [("a.py", "beta\nx\n", 600), ("b.py", "alpha\n", 600)], [("c.py", "alpha\n", 20_000)]]
+    for n, batch in enumerate(batches):
+        df = spark.createDataFrame([(p, p, t, at) for p, t, at in batch], "path string, file_name string, content string, at long")
+        df.select("path", "file_name", "content", F.timestamp_seconds(F.col("at") + 1_700_000_000).alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by the time they were written
+    stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = (line_findings_stream(stream, rules=rules, hold=True).writeStream.format("memory").queryName("held")
+         .option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.file_path, r.line, r.rule_id) for r in spark.table("held").collect())
+    assert got == [("a.py", 1, "U-2"), ("a.py", 2, "U-1"), ("b.py", 1, "U-2")]  # c.py is still held
+
+
 @pytest.mark.parametrize("lang", ["py"])
 def test_long_files_take_time_in_proportion(spark, lang):
     """Verdicts of a long chain are right, and twice the lines take far less than four times as long."""
