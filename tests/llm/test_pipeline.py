@@ -43,3 +43,18 @@ def test_near_dedup_keeps_one_row(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, None if i == 7 else "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, docs.repartition(3), str(tmp_path)).collect()
     assert sorted(((r.doc_id or 0), r.text.lower()) for r in got) == sorted([(0, a), (0, b), (7, c), (5, d), (8, e)])
+
+
+FORM = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    """No rows, and rows of which every column may be null, empty or repeated."""
+    spark.createDataFrame([], FORM).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    text = "a plain text that has some words in it and then some more of them to read"
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, text, None, None, None), (2, text, None, None, None), (None, text, "en", "s", 1), (3, " \n", "en", "s", 2)]
+    df = spark.createDataFrame(rows, FORM)
+    for (name, stage), left in zip(corpus_pipeline.STAGES, (3, 1, 1, 1), strict=True):
+        df = corpus_pipeline.saved(stage(spark, df, str(tmp_path)), name)
+        assert df.count() == left, name
