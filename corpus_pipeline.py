@@ -31,14 +31,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in a run of 13 that a document before has are cut; a text cut to nothing goes."""
+    """Words in a run of 13 that a document before has are cut; a text cut to nothing goes.
+    A null, empty or blank text has no words and stays as it is.  Rows without a doc_id
+    take no part and stay; rows that repeat a doc_id are one document, so neither cuts the other."""
     cut = rlz.dedup_substrings(docs, carry=("lang", "source", "n_chars"))
     length = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.where("n_removed = 0 OR n_removed < n_words").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1,024 ids."""
+    """Token sequences of 1,024 ids.  A null or empty text is its closing id alone; every
+    row is packed, those that repeat a doc_id or have none as well."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
