@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintlake.llm.tables import components
@@ -25,7 +25,6 @@ from taintlake.plans.storage import saved
 
 TILE_ROWS = 16_384
 SEED = 42
-_PAIR = "pair string, side int, data binary"
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -90,14 +89,8 @@ def link_fingerprints(prints: DataFrame, name: str, radius: int = 4, tile_rows:
     dealt = counted.withColumn("tile", F.pmod(F.xxhash64("fp"), count).cast("int"))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        ones, tile = key[0].as_py(), key[1].as_py()
-        data = np.asarray(table["fp"]).astype("<i8").tobytes()
-        rows = [(f"{ones}.{tile}-{ones + d}.{other}", 0) for d in range(radius + 1) if ones + d in tiles
-                for other in range(tile if d == 0 else 0, tiles[ones + d])]
-        rows += [(f"{ones - d}.{other}-{ones}.{tile}", 1) for d in range(radius + 1) if ones - d in tiles
-                 for other in range(tile if d == 0 else tiles[ones - d])]
-        return pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([data] * len(rows), pa.binary())],
-                        ["pair", "side", "data"])
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()),
+                         pa.array([np.asarray(table["fp"]).astype("<i8").tobytes()], pa.binary())], ["ones", "tile", "data"])
 
     def compare(table: pa.Table) -> pa.Table:
         sides = {s: np.frombuffer(d, np.uint64) for s, d in zip(table["side"].to_pylist(), table["data"].to_pylist(), strict=True)}
@@ -105,10 +98,31 @@ def link_fingerprints(prints: DataFrame, name: str, radius: int = 4, tile_rows:
         a, b = _stars(sides.get(0, none), sides.get(1), radius)
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    pairs = dealt.select("ones", "tile", "fp").groupBy("ones", "tile").applyInArrow(pack, _PAIR)
+    packed = dealt.select("ones", "tile", "fp").groupBy("ones", "tile").applyInArrow(pack, "ones int, tile int, data binary")
+    # A tile goes to each of its pairs row by row; no task holds all its copies.
+    pairs = packed.select(F.explode(_pairs(tiles, radius)).alias("p"), "data").select("p.pair", "p.side", "data")
     return components(pairs.groupBy("pair").applyInArrow(compare, "a long, b long"), f"{name}-links")
 
 
+def _pairs(tiles: dict[int, int], radius: int) -> Column:
+    """The pairs of tiles that a tile (`ones`, `tile`) takes part in, and its side."""
+    counts = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])
+
+    def some(start: Column, end: Column, name, side: int) -> Column:
+        return F.when(end > start, F.transform(F.sequence(start, end - 1), lambda o: F.struct(name(o).alias("pair"), F.lit(side).alias("side"))))
+
+    out = []
+    for d in range(radius + 1):
+        for near, side in ((F.col("ones") + d, 0), (F.col("ones") - d, 1)):
+            n = F.coalesce(F.try_element_at(counts, near), F.lit(0))
+            mine = F.concat_ws(".", "ones", "tile")
+            name = (lambda o, near=near: F.concat(mine, F.lit("-"), F.concat_ws(".", near, o))) if side == 0 else (
+                lambda o, near=near: F.concat(F.concat_ws(".", near, o), F.lit("-"), mine))
+            start, end = (F.col("tile"), n) if d == 0 and side == 0 else (F.lit(0), F.col("tile")) if d == 0 else (F.lit(0), n)
+            out.append(F.coalesce(some(start, end, name, side), F.array().cast("array<struct<pair:string,side:int>>")))
+    return F.concat(*out)
+
+
 def _printed(rows: DataFrame, shingle: int) -> DataFrame:
     """Column text replaced by its fingerprint fp; saved."""
     keep = [c for c in rows.columns if c != "text"]
