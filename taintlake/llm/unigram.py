@@ -102,7 +102,7 @@ class Unigram:
         self.trie = DoubleArray([pieces[i][0].encode() for i in plain], plain)
         self.plain = frozenset(plain)
         self.unknown = min([self.score[i] for i in plain], default=0.0) - UNKNOWN_PENALTY
-        self.known: dict[str, bytes] = {}
+        self.known = self._start()
 
     def split(self, word: str) -> list[int]:
         """Ids of the best split; of equal ones, that whose last pieces are longest."""
@@ -186,12 +186,16 @@ class Unigram:
             self._packed = (np.array(self.trie.base + [0] * 512), np.array(self.trie.check + pad), np.array(self.score))
         return self._packed
 
-    def learn(self, texts: list[str]) -> None:
-        """Solve the new words of some texts together."""
-        new = {w for t in texts for w in self._cut(t)} - self.known.keys()
+    def _start(self) -> dict[str, bytes]:
+        """A literal marker is a word of its own, known as the bytes of its three byte pieces."""
+        return {_LITERAL: np.array([self.bytes_at + b for b in MARK.encode()], "<u4").tobytes()}
+
+    def learn(self, words: set[str]) -> None:
+        """Solve those words together that are not known."""
+        new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for t in texts for w in self._cut(t)}
+            self.known = self._start()
+            new = words - self.known.keys()
         ordered = list(new)
         for i in range(0, len(ordered), 20_000):
             self.known.update(zip(ordered[i:i + 20_000], self.split_all(ordered[i:i + 20_000]), strict=True))
@@ -200,15 +204,15 @@ class Unigram:
         """Little-endian 32-bit ids.  A marker in the text itself becomes its bytes, so
         that decoding returns it."""
         words = self._cut(text)
-        if any(w not in self.known for w in words):
-            self.learn([text])
-        return b"".join([self.known[w] for w in words])
+        self.learn(set(words))
+        return self._joined(words)
+
+    def _joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.known.__getitem__, words))
 
     def _cut(self, text: str) -> list[str]:
         if MARK not in text:
             return _WORD.findall(MARK + text.replace(" ", MARK))
-        # A literal marker is its own word, known as three byte pieces.
-        self.known[_LITERAL] = np.array([self.bytes_at + b for b in MARK.encode()], "<u4").tobytes()
         head, *rest = text.split(MARK)
         return _WORD.findall(MARK + head.replace(" ", MARK)) + [w for r in rest for w in (_LITERAL, *_WORD.findall(r.replace(" ", MARK)))]
 
@@ -265,12 +269,13 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             rows, texts = [], batch["text"].to_pylist()
             for i, text in enumerate(texts):
-                if i % 200 == 0:
-                    unigram.learn([t for t in texts[i:i + 200] if t is not None])
+                if i % 200 == 0:  # cut texts once, and solve the new words of some of them together
+                    cuts = [unigram._cut(t) if t is not None else [] for t in texts[i:i + 200]]
+                    unigram.learn(set().union(*cuts))
                 if text is None:
                     rows.append((None,) * 5)
                     continue
-                ids = unigram.encode(text)
+                ids = unigram._joined(cuts[i % 200])
                 number = np.frombuffer(ids, "<u4")
                 rows.append((len(number), zlib.crc32(ids), unigram.decode(ids) == text, int(((number >= low) & (number < high)).sum()), ids if with_ids else None))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
