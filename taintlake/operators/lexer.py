@@ -128,8 +128,9 @@ def _depth(lang: str) -> str:
     braces nest no deeper.  Pairs are taken out of the text's bare braces from the inside."""
     braces = "regexp_replace(content, '[^{}]++', '')"
     peeled = "replace(s.b, '{}', '')"
-    depth = f"""aggregate(sequence(1, {DEEPEST}), named_struct('b', {braces}, 'n', 0),
-        (s, i) -> if(length({peeled}) = length(s.b), s, named_struct('b', {peeled}, 'n', i)), s -> s.n)"""
+    rounds = f"sequence(1, greatest(1, least({DEEPEST}, CAST(length(x) / 2 AS INT))))"
+    depth = f"""element_at(transform(array({braces}), x -> aggregate({rounds}, named_struct('b', x, 'n', 0),
+        (s, i) -> if(length({peeled}) = length(s.b), s, named_struct('b', {peeled}, 'n', i)), s -> s.n)), 1)"""
     return f"""CASE WHEN NOT ({_MAY_HOLD_CODE[lang]}) THEN 0
         ELSE element_at(transform(array({depth}), d -> if(d <= {SHALLOW}, {SHALLOW}, CAST(least({DEEPEST}, pow(2, ceil(log2(d)))) AS INT))), 1) END"""
 
