@@ -150,3 +150,12 @@ def test_long_files_take_time_in_proportion(spark, lang):
     run(300)
     short, long = run(6_000), run(12_000)
     assert long < 2.5 * short
+
+
+def test_findings_of_dependencies_are_made_before_the_join(spark):
+    rows = spark.createDataFrame([("p", "a", "PyPI"), ("q", "b", "npm")], "project string, package string, ecosystem string")
+    adv = spark.createDataFrame([(None, None, "a", "PyPI"), ("X", "s", "a", "PyPI")], "id string, summary string, package string, ecosystem string")
+    found = deps.match_advisories(rows, adv, salts=2)
+    assert sorted((r.project, r.file_path, r.vuln_type, r.lang) for r in found.collect())[1:] == [("p", "dependency:a", "X", "pypi")] and found.count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("concat(dependency:") and plan.index("Join") < plan.index("lower(")
