@@ -194,3 +194,17 @@ def test_findings_are_compared_without_the_catalogue(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     compared = next(row for row in plan.splitlines() if "Aggregate [" in row)
     assert "rule_ord" in compared and "recommendation" not in compared
+
+
+def test_files_of_a_stream_are_built_in_tasks_that_grow_with_it(spark, monkeypatch, tmp_path):
+    from taintlake.schemas import FINDING
+    from workloads import corpus, queries
+
+    monkeypatch.setattr(corpus, "FILES_PER_TASK", 100)
+    spark.range(3_000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    seen = []
+    monkeypatch.setattr(queries, "scan_batches", lambda files, sink, state: (
+        files.writeStream.foreachBatch(lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count())))
+        .option("checkpointLocation", state).trigger(availableNow=True).start()))
+    monkeypatch.setattr(queries, "read_batches", lambda spark, _: spark.createDataFrame([], FINDING))
+    assert queries.stream_scan(spark, str(tmp_path)).count() == 0 and seen == [(30, 3_000)]
