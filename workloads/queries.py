@@ -179,8 +179,9 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
 def token_lines(spark: SparkSession, sf: str) -> DataFrame:
     units = _units(spark, sf)
     rows = views.tokens(units)
+    # Spark takes the size of lines for that of the orders' columns and would broadcast them.
     return (rows.groupBy("file_id", "line").agg(F.count("*").alias("n_tokens"))
-            .join(units.select("file_id", "path"), "file_id")
+            .join(units.select("file_id", "path").hint("merge"), "file_id")
             .select("path", F.col("line").cast("long").alias("line"), "n_tokens"))
 
 
