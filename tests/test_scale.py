@@ -274,3 +274,16 @@ def test_flow_of_sliced_and_empty_files():
     assert _flow.func(batch).to_pylist() == want and sum(map(len, want)) > 500
     assert _flow.func(batch.slice(70, 500)).to_pylist() == want[70:570]
     assert _flow.func(batch.slice(0, 0)).to_pylist() == [] and _flow.func(pa.array([None, []], kind)).to_pylist() == [[], []]
+
+
+def test_files_of_the_catalogue_are_built_in_tasks_that_grow_with_them(spark, monkeypatch, tmp_path):
+    from workloads import catalogue, corpus
+
+    monkeypatch.setattr(corpus, "FILES_PER_TASK", 100)
+    keys = spark.range(3_000).unionByName(spark.range(1)).selectExpr("id AS c_custkey").unionByName(spark.sql("SELECT CAST(null AS BIGINT) AS c_custkey"))
+    keys.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    files = catalogue.table(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 31
+    plain = catalogue.source_files(spark.read.parquet(str(tmp_path / "customer.parquet")))
+    rows = sorted(map(repr, files.collect()))
+    assert rows == sorted(map(repr, plain.collect())) and len(rows) == 3_002

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taintlake.rules.catalog import RULES
+from workloads.corpus import spread_by
 
 INLINE = "html (inline <script>)"
 # Shapes of credentials are put together here, so that no scanner takes them for real ones.
@@ -115,4 +116,5 @@ def expected() -> list[tuple]:
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_files(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return source_files(spread_by(customers, customers.count(), "c_custkey"))

@@ -61,10 +61,15 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(orders: DataFrame, n_orders: int) -> DataFrame:
-    """Keys of orders, in a table or a stream of so many.  They fit in one input split; they
-    are spread before texts are built on them, as a real source tree of that size would be."""
-    tasks = max(orders.sparkSession.sparkContext.defaultParallelism * 2, math.ceil(n_orders / FILES_PER_TASK))
-    return orders.select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
+    """Keys of orders, in a table or a stream of so many."""
+    return spread_by(orders.select("o_orderkey", "o_custkey"), n_orders, "o_orderkey")
+
+
+def spread_by(keys: DataFrame, n_keys: int, name: str) -> DataFrame:
+    """Keys fit in one input split; they are spread before texts are built on them, as a real
+    source tree of that size would be."""
+    tasks = max(keys.sparkSession.sparkContext.defaultParallelism * 2, math.ceil(n_keys / FILES_PER_TASK))
+    return keys.repartition(tasks, name)
 
 
 def code_files(orders: DataFrame) -> DataFrame:
