@@ -37,6 +37,22 @@ def test_hot_packages(spark, monkeypatch):
     assert sorted(found.groupBy("vuln_type").count().collect()) == sorted(small.collect()) and found.count() == 60_000
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_advisories_are_met_in_packs(spark, monkeypatch, broadcast):
+    """A dependency is joined with packs of its advisories, not with each; all of them are
+    found, repeated ones too, and nulls meet nothing."""
+    monkeypatch.setattr(deps, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(deps, "PACKED", 3)
+    rows = [(f"proj{i}", f"p{i % 4}", "PyPI" if i % 3 else None) for i in range(40)] + [("proj1", "p1", "PyPI")]
+    adv = [(f"A{i % 9}" if i % 5 else None, "s" if i % 4 else None, f"p{i % 3}", "PyPI") for i in range(50)] + [("B", "s", "p1", None)]
+    df = spark.createDataFrame(rows, "project string, package string, ecosystem string")
+    found = deps.match_advisories(df, spark.createDataFrame(adv, "id string, summary string, package string, ecosystem string"))
+    want = sorted((p, a or deps.ADVISORY_DEFAULT_ID, s or deps.ADVISORY_DEFAULT_SUMMARY) for p, n, e in rows for a, s, m, f in adv if n == m and e == f)
+    assert sorted((r.project, r.vuln_type, r.explanation) for r in found.collect()) == want and len(want) > 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner")
+
+
 def test_entries_without_a_package(spark, tmp_path):
     entry = lambda n: {"package": {"name": n, "ecosystem": "PyPI"}}
     path = tmp_path / "osv.json"
