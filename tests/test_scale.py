@@ -47,7 +47,7 @@ def test_advisories_are_met_in_packs(spark, monkeypatch, broadcast):
     adv = [(f"A{i % 9}" if i % 5 else None, "s" if i % 4 else None, f"p{i % 3}", "PyPI") for i in range(50)] + [("B", "s", "p1", None)]
     df = spark.createDataFrame(rows, "project string, package string, ecosystem string")
     found = deps.match_advisories(df, spark.createDataFrame(adv, "id string, summary string, package string, ecosystem string"))
-    want = sorted((p, a or deps.ADVISORY_DEFAULT_ID, s or deps.ADVISORY_DEFAULT_SUMMARY) for p, n, e in rows for a, s, m, f in adv if n == m and e == f)
+    want = sorted((p, a or deps.ADVISORY_DEFAULT_ID, s or deps.ADVISORY_DEFAULT_SUMMARY) for p, n, e in rows for a, s, m, f in adv if n == m and e and e == f)
     assert sorted((r.project, r.vuln_type, r.explanation) for r in found.collect()) == want and len(want) > 300
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("Join Inner")
