@@ -84,14 +84,17 @@ def _call_events() -> Column:
         _null("string").alias("var"), F.lit(False).alias("reads_lhs"), _null("string").alias("literal")))
 
 
+def _statement_name(kind: Column, start: Column) -> Column:
+    word = F.lower(F.ltrim(F.element_at("pieces", start), F.lit(" \t\f")))
+    return F.when(kind == "include", F.concat(word, F.lit("("))).when(word == "<?=", F.lit("echo")).otherwise(word)
+
+
 def _statement_events() -> Column:
     def event(s: Column) -> Column:
-        word = F.lower(F.ltrim(F.element_at("pieces", s["start"]), F.lit(" \t\f")))
         return F.struct(
             s["start"].alias("start"), F.lit(1).alias("rank"), F.lit(0).alias("outer_first"),
             F.lit("call").alias("kind"), s["line"].alias("line"), *_context(s),
-            F.when(s["kind"] == "include", F.concat(word, F.lit("("))).when(word == "<?=", F.lit("echo"))
-            .otherwise(word).alias("callee"),
+            _statement_name(s["kind"], s["start"]).alias("callee"),
             (s["start"] + 1).alias("from"), s["end"].alias("to"),
             _null("string").alias("var"), F.lit(False).alias("reads_lhs"), _null("string").alias("literal"))
 

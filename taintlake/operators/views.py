@@ -22,13 +22,16 @@ def brackets(units: DataFrame) -> DataFrame:
 
 
 def calls(facts_: DataFrame) -> DataFrame:
-    rows = detect.with_events(facts_)
-    c = F.filter("events", lambda e: e["kind"] == "call")
-    rows = rows.select("file_id", "path", "lang", "unit_no", "line_offset", F.explode(F.transform(c, lambda e: F.struct(
-        e["start"].alias("start_pos"), e["from"].alias("open_pos"), e["to"].alias("close_pos"),
-        e["line"].alias("line"), e["callee"].alias("callee"), detect._cut(e["from"], e["to"]).alias("args")))).alias("c"))
-    return rows.select("file_id", "path", "lang", "unit_no", "c.start_pos", "c.open_pos", "c.close_pos",
-                       (F.col("c.line") + F.col("line_offset")).alias("line"), "c.callee", "c.args")
+    """Calls, and statements that act like them.  Numbers leave a file's row by one explode;
+    source text is cut out behind it, where Spark compiles the cuts, and of calls only."""
+    item = lambda x, *more: F.struct(x["start"].alias("start"), x["line"].alias("line"), *more)
+    from_call = F.transform("calls", lambda c: item(c, c["open"].alias("open"), c["close"].alias("close"), F.lit(None).cast("string").alias("kind")))
+    from_stmt = F.transform("stmts", lambda s: item(s, (s["start"] + 1).alias("open"), s["end"].alias("close"), s["kind"].alias("kind")))
+    rows = facts_.select("file_id", "path", "lang", "unit_no", "line_offset", "pieces", F.explode(F.concat(from_call, from_stmt)).alias("c"))
+    rows = rows.select("file_id", "path", "lang", "unit_no", "line_offset", "pieces", "c.*")
+    callee = F.when(F.col("kind").isNull(), detect._cut(F.col("start"), F.col("open"))).otherwise(detect._statement_name(F.col("kind"), F.col("start")))
+    return rows.select("file_id", "path", "lang", "unit_no", F.col("start").alias("start_pos"), F.col("open").alias("open_pos"), F.col("close").alias("close_pos"),
+                       (F.col("line") + F.col("line_offset")).alias("line"), callee.alias("callee"), detect._cut(F.col("open"), F.col("close")).alias("args"))
 
 
 def defs(facts_: DataFrame) -> DataFrame:
