@@ -116,6 +116,14 @@ def _assign_events() -> Column:
                _cut(d["rhs"], d["end"])).alias("literal")))
 
 
+def define_events() -> Column:
+    """Assignments to plain variables in document order, without source text: all that sets
+    or clears a variable, and what the assignments read."""
+    return F.sort_array(F.transform(F.filter("defs", lambda d: d["simple"]), lambda d: F.struct(
+        d["start"].alias("start"), F.lit("define").alias("kind"), d["line"].alias("line"), *_context(d),
+        _bare_name(d["name_pos"]).alias("var"), d["reads_lhs"].alias("reads_lhs"))))
+
+
 def _text_of(e: Column) -> Column:
     """Source text of an event's whole node."""
     return _cut(e["start"], e["to"])

@@ -85,7 +85,8 @@ def reached_uses(facts_: DataFrame) -> DataFrame:
 
 
 def tainted_defs(facts_: DataFrame) -> DataFrame:
-    """Plain variables that an assignment makes tainted."""
-    rows = detect.with_hits(detect.with_events(facts_).where("has_src"), lambda e: e["kind"] == "define")
+    """Plain variables that an assignment makes tainted.  Calls and other assignments change
+    no variable and are asked for by nobody here, so they are no events."""
+    rows = detect.with_hits(facts_.where("has_src").withColumn("events", detect.define_events()), lambda e: e["kind"] == "define")
     rows = rows.select("path", "line_offset", F.explode(detect.at_hits(lambda i: F.element_at("events", i))).alias("e"))
     return rows.select("path", (F.col("e.line") + F.col("line_offset")).alias("line"), F.col("e.var").alias("var"))

@@ -183,3 +183,13 @@ def test_text_is_cut_behind_the_explode(spark):
 
 def calls_of_rows(spark, rows):
     return sorted((r.path, r.callee, r.args) for r in views.calls(facts.file_facts(units(spark, rows))).collect())
+
+
+def test_flow_needs_no_calls(spark):
+    """Only assignments to plain variables are events of the flow; none of their text is cut."""
+    rows = [("python", "a = input()\nb = f(a)\nc.d = a\nsink(b)\na = 1\ne = a\nb += 2\nb = g(1)\nh: str = input()\ni = escape(h)\nj = k = h\n"),
+            ("php", "<?php $x = $_GET['q']; echo $x; $y = $x . 'a'; $x = 1; $z = $x; ?>"), ("python", "m = n\n")]
+    found = views.tainted_defs(facts.file_facts(units(spark, rows)))
+    got = sorted((r.path, r.line, r["var"]) for r in found.collect())
+    assert got == [("p0", 1, "a"), ("p0", 2, "b"), ("p0", 7, "b"), ("p0", 9, "h"), ("p0", 11, "j"), ("p0", 11, "k"), ("p1", 1, "x"), ("p1", 1, "y")]
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
